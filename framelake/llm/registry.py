@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, mixing, piece_codec, quality, secret_scan, trie_dedup, url_filter
+from . import html_text, language, license_scan, mixing, piece_codec, quality, secret_scan, trie_dedup, url_filter
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
@@ -63,6 +68,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES = {
+    "op1_license_scan": r"""
+        WITH templates(template, x) AS (VALUES TEMPLATES),
+        tw AS (SELECT template, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') AS w FROM templates),
+        ts AS (SELECT DISTINCT template, array_to_string(w[i:i + 4], ' ') AS s FROM tw, unnest(range(1, len(w) - 3)) r(i)),
+        n AS (SELECT template, count(*) AS n FROM ts GROUP BY template),
+        dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+        ds AS (SELECT rid, doc_id, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) r(i)),
+        hit AS (SELECT rid, doc_id, template, n, p, s FROM ds JOIN ts USING (s) JOIN n USING (template)),
+        win AS (SELECT DISTINCT rid, doc_id, template, n, 2 * (p // 2) AS g FROM hit),
+        found AS (
+          SELECT win.rid, win.doc_id, win.template, g, count(DISTINCT s) / any_value(win.n)::double AS c
+          FROM win JOIN hit ON win.rid = hit.rid AND win.template = hit.template AND p >= g - win.n AND p < g + win.n + 2
+          GROUP BY ALL)
+        SELECT doc_id, template, max(c) AS containment, min(g)::bigint AS first_word
+        FROM found WHERE c >= 0.8 GROUP BY doc_id, template""".replace("TEMPLATES", ", ".join(f"('{k}', '{v}')" for k, v in sorted(license_scan.TEMPLATES.items()))),
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
