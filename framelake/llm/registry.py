@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, license_scan, mixing, piece_codec, quality, secret_scan, trie_dedup, url_filter
+from . import html_text, jaccard_join, language, license_scan, mixing, piece_codec, quality, secret_scan, trie_dedup, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again: number of ids and chunks, a hash of the ids, and whether the text came back."""
     done = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents")))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
