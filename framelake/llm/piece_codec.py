@@ -25,10 +25,22 @@ from .vocab import default_path, pieces
 MARK = "▁"
 #: Characters of a chunk; longer texts are encoded by chunks that any executor may take.
 CHUNK = 32_768
-CACHE = 400_000
+CACHE = 150_000
 START = (0, 0)  # the state before a text; a state is (characters before the boundary, after it) of a piece
 
 
+class Follow(dict):
+    """Which pieces may follow one piece, worked out when first asked."""
+
+    __slots__ = ("lattice", "left")
+
+    def __init__(self, lattice: Lattice, left: str) -> None:
+        self.lattice, self.left = lattice, left
+
+    def __missing__(self, right: str) -> bool:
+        return self.lattice.step(self, right)
+
+
 class Lattice:
     """Pieces of one model file, the steps between them, and the best paths of strings."""
 
@@ -39,11 +51,27 @@ class Lattice:
         self.score = {p: scores[i] for p, i in self.ids.items()}
         self.bytes = [next(i for i, p in enumerate(names) if is_byte[i] and p == f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
-        self.steps: dict[tuple[str, str], bool] = {}
+        self.steps: dict[str, Follow] = {}
+        self.opening = Follow(self, "")
+        self.n_steps = 0
         self.words: dict[str, array] = {}
-        single = "".join(re.escape(p) for p in self.ids if len(p) == 1 and p != MARK)
-        # No piece holds a mark after another character, nor a character without a piece: texts fall apart there.
-        self.units = re.compile(f"{MARK}+[{single}]*|[{single}]+|.", re.S)
+        # No piece holds a mark after another character, a character without a piece, or a letter beside one of the
+        # signs that no piece joins to letters: texts fall apart there.
+        pairs = {a + b for p in self.ids for a, b in zip(p, p[1:])}
+        single = [p for p in self.ids if len(p) == 1 and p != MARK]
+        bound = {x for pair in pairs if pair[0].isalpha() != pair[1].isalpha() for x in pair if not x.isalpha()}
+        free = [c for c in single if not c.isalpha() and c not in bound]
+        joined = "".join(re.escape(c) for c in single if c not in free)
+        self.units = re.compile(f"{MARK}*(?:[{joined}]+|[{''.join(map(re.escape, free))}]+)|{MARK}+|.", re.S)
+        self.free, self.single = frozenset(free), frozenset(single)
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether no piece can hold the two characters side by side, as `units` tells it."""
+        if right == MARK:
+            return left != MARK
+        if right not in self.single or left not in self.single and left != MARK:
+            return True
+        return left != MARK and (left in self.free) != (right in self.free)
 
     def merged(self, text: str) -> list[str]:
         """A short string's pieces: the best neighbours merge first, the leftmost of equals."""
@@ -59,14 +87,24 @@ class Lattice:
             out[at : at + 2] = [out[at] + out[at + 1]]
         return out
 
-    def step(self, left: str, right: str) -> bool:
-        """Whether the two pieces may follow each other."""
-        key = (left, right)
-        found = self.steps.get(key)
+    def follow(self, left: str) -> Follow:
+        """What may follow a piece; anything may follow the empty one."""
+        if not left:
+            return self.opening
+        found = self.steps.get(left)
         if found is None:
-            if len(self.steps) > 2 * CACHE:
-                self.steps.clear()
-            found = self.steps[key] = self.merged(left + right) == [left, right]
+            found = self.steps[left] = Follow(self, left)
+        return found
+
+    def step(self, known: Follow, right: str) -> bool:
+        """Whether the two pieces may follow each other; `known` is the row of the left one, which learns it."""
+        if not known.left:
+            return True
+        if self.n_steps > 2 * CACHE:
+            self.steps.clear()
+            self.n_steps = 0
+        self.n_steps += 1
+        found = known[right] = self.merged(known.left + right) == [known.left, right]
         return found
 
     def is_piece(self, s: str) -> bool:
@@ -75,22 +113,17 @@ class Lattice:
     def forward(self, text: str, last: dict[int, int]) -> dict[int, int]:
         """`last`: length of the piece that ends at some positions already (all later than the start of `text`).
         Adds to it, for each position reached, the length of the piece that ends there on the path of finite weight."""
-        ids, steps, first, longest = self.ids, self.steps, min(last), self.longest
+        ids, first, longest = self.ids, min(last), self.longest
+        rows = {end: self.follow(text[end - size : end]) for end, size in last.items()}
         for end in range(first + 1, len(text) + 1):
             if end in last:
                 continue
             for start in range(end - 1, max(first, end - longest) - 1, -1):
-                before = last.get(start)
-                if before is None:
-                    continue
                 piece = text[start:end]
-                if piece in ids or end - start == 1:  # a character without a piece stands alone, written as bytes
-                    if before:
-                        left = text[start - before : start]
-                        fits = steps.get((left, piece))
-                        if not (self.step(left, piece) if fits is None else fits):
-                            continue
+                # A character without a piece stands alone, written as bytes.
+                if start in rows and (piece in ids or end - start == 1) and rows[start][piece]:
                     last[end] = end - start
+                    rows[end] = self.follow(piece)
                     break
         return last
 
@@ -107,9 +140,25 @@ class Lattice:
         return [found] if found is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
 
     def unit(self, text: str) -> array:
-        """Ids of a string that shares no piece with its neighbours."""
-        cuts = self.back(self.forward(text, {0: 0}), len(text), 0)
-        return array("i", [i for a, b in zip(cuts, cuts[1:]) for i in self.codes(text[a:b])])
+        """Ids of a string that shares no piece with its neighbours: `forward` and `back` from its start, on lists."""
+        n = len(text)
+        if n == 1:
+            return array("i", self.codes(text))
+        ids, steps, longest = self.ids, self.steps, self.longest
+        rows, size, code = [self.opening] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):
+                piece = text[start:end]
+                if piece in ids and rows[start][piece]:
+                    size[end], code[end] = end - start, ids[piece]
+                    rows[end] = steps.get(piece) or self.follow(piece)
+                    break
+        out = array("i")
+        while n:
+            out.append(code[n])
+            n -= size[n]
+        out.reverse()
+        return out
 
     def encode(self, escaped: str) -> array:
         """Ids of a string that starts and ends where texts fall apart."""
@@ -143,43 +192,62 @@ class Lattice:
         top = self.longest
         return [(a, b) for a in range(1, min(top, len(left)) + 1) for b in range(0, min(top - a, len(right)) + 1) if self.is_piece(left[len(left) - a :] + right[:b])]
 
-    def path(self, left: str, body: str, right: str, state: tuple[int, int]) -> tuple[str, int, dict[int, int]]:
-        """The lattice of a chunk from one state at its start: text, position of the first cut, ends of pieces."""
-        text, at = left + body + right, len(left) + state[1]
-        return text, at, self.forward(text, {at: sum(state)})
+    def seams(self, text: str, low: int, high: int) -> tuple[int, int] | None:
+        """The first and the last place from `low` to `high` where the text falls apart."""
+        first = next((i for i in range(max(1, low), min(high, len(text) - 1) + 1) if self.apart(text[i - 1], text[i])), None)
+        if first is None:
+            return None
+        return first, next(i for i in range(min(high, len(text) - 1), first - 1, -1) if self.apart(text[i - 1], text[i]))
 
     def transfer(self, left: str, body: str, right: str, is_first: bool, is_last: bool) -> list[tuple[int, int, int, int]]:
         """Finite entries of the chunk's matrix, as (state at its start, state at its end).
 
-        Within a chunk, paths from all states meet wherever texts fall apart, so only the part before the first such
-        place depends on the state at the start, and only the part after the last one decides the state at the end.
+        Paths from all states meet wherever the text falls apart, so only the part before the first such place depends
+        on the state at the start, and only the part after the last one decides the state at the end.
         """
         entries = [START] if is_first else self.states(left, body + right)
-        whole = len(left) + len(body)
+        text, low = left + body + right, len(left)
+        whole = low + len(body)
+        seams = self.seams(text, low, whole - 1)
+        tail = self.leaves(text, whole, self.forward(text[: whole + self.longest], {seams[1]: 0}), is_last) if seams else []
         out = []
         for entry in entries:
-            text, at, last = self.path(left, body, right, entry)
-            if at > whole:
+            at = low + entry[1]
+            if seams:
+                if at <= seams[0] and seams[0] in self.forward(text[: seams[0]], {at: sum(entry)}):
+                    out.extend((*entry, *leave) for leave in tail)
+            elif at > whole:
                 if entry[0] + len(body) <= self.longest:  # one piece spans the whole chunk
                     out.append((*entry, entry[0] + len(body), at - whole))
-                continue
-            if is_last:
-                if whole in last:
-                    out.append((*entry, last[whole], 0))
-                continue
-            for end in range(whole, min(len(text), whole + self.longest) + 1):
-                size = last.get(end)
-                if size and end - size < whole:
-                    out.append((*entry, size - (end - whole), end - whole))
+            else:
+                out.extend((*entry, *leave) for leave in self.leaves(text, whole, self.forward(text, {at: sum(entry)}), is_last))
         return out
 
+    def leaves(self, text: str, whole: int, last: dict[int, int], is_last: bool) -> list[tuple[int, int]]:
+        """States at the end of a chunk that its lattice reaches."""
+        if is_last:
+            return [(last[whole], 0)] if whole in last else []
+        ends = ((end, last.get(end, 0)) for end in range(whole, min(len(text), whole + self.longest) + 1))
+        return [(size - (end - whole), end - whole) for end, size in ends if size and end - size < whole]
+
     def trace(self, left: str, body: str, right: str, entry: tuple[int, int], leave: tuple[int, int]) -> array:
         """Ids of the pieces that begin in the chunk, given the states at both ends."""
-        text, at, last = self.path(left, body, right, entry)
-        end = len(left) + len(body) + leave[1]
+        text, at = left + body + right, len(left) + entry[1]
+        whole = len(left) + len(body)
+        end = whole + leave[1]
         if at >= end:
             return array("i")
-        cuts = self.back(last, end, at)
+        seams = self.seams(text, len(left), whole - 1)
+        if not seams:
+            return self.between(text[:end], at, end, sum(entry))
+        out = self.between(text[: seams[0]], at, seams[0], sum(entry))
+        out.extend(self.encode(text[seams[0] : seams[1]]))
+        out.extend(self.between(text[:end], seams[1], end, 0))
+        return out
+
+    def between(self, text: str, at: int, end: int, size: int) -> array:
+        """Ids of the path from `at`, where a piece of `size` ends, to `end`."""
+        cuts = self.back(self.forward(text, {at: size}), end, at)
         return array("i", [i for a, b in zip(cuts, cuts[1:]) for i in self.codes(text[a:b])])
 
 
