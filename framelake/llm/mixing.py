@@ -15,10 +15,13 @@ def word_count(text_col: str) -> Column:
     return F.size(F.regexp_extract_all(text_of(text_col), F.lit(WORD), 0)).cast("long")
 
 
+def _hash(id_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), F.col(id_col)), 64 - HASH_BITS)
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One narrow row per row of `docs`: doc_id, source, size in words, and h, a fixed 60-bit hash of the id."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), F.col(id_col)), 64 - HASH_BITS)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), h.alias("h"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(id_col).alias("h"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -89,12 +92,16 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "passes", end.alias("threshold"))
 
 
-def salted_join(docs: DataFrame, per_source: DataFrame) -> DataFrame:
+def salted_join(docs: DataFrame, per_source: DataFrame, source: str = "source", h: str = "h") -> DataFrame:
     """`docs` with its source's row. A source may hold a third of all rows, so both sides are dealt by source and salt;
     the side with one row per source is copied once for each salt. Spark broadcasts it when it measures it as small."""
-    side = per_source.withColumnRenamed("source", "side_source").withColumn("side_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.col("h"), F.lit(SALTS)).cast("int")
-    return docs.join(side, F.col("source").eqNullSafe(F.col("side_source")) & (salt == F.col("side_salt"))).drop("side_source", "side_salt")
+    side = per_source.withColumnRenamed("source", "__side_source").withColumn("__side_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.col(h), F.lit(SALTS)).cast("int")
+    return docs.join(side, F.col(source).eqNullSafe(F.col("__side_source")) & (salt == F.col("__side_salt"))).drop("__side_source", "__side_salt")
+
+
+def _copies(passes: str, threshold: str, h: str, most: int) -> Column:
+    return F.least(F.col(passes) + (F.col(h) < F.col(threshold)).cast("long"), F.lit(most).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -108,5 +115,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     narrow = cut(sized(docs, id_col, text_col, source_col))
     goals = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     joined = salted_join(narrow, thresholds(narrow, goals))
-    copies = F.least(F.col("passes") + (F.col("h") < F.col("threshold")).cast("long"), F.lit(max_repeats).cast("long"))
-    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", _copies("passes", "threshold", "h", max_repeats)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, with all their columns, each as often as `mix` takes it (rows taken no time are left out)."""
+    narrow = cut(sized(docs, id_col, text_col, source_col))
+    goals = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
+    limits = thresholds(narrow, goals).select("source", F.col("passes").alias("__mix_passes"), F.col("threshold").alias("__mix_threshold"))
+    rows = salted_join(docs.withColumn("__mix_h", _hash(id_col)), limits, source_col, "__mix_h")
+    times = rows.withColumn("__mix_copies", _copies("__mix_passes", "__mix_threshold", "__mix_h", max_repeats)).where("__mix_copies > 0")
+    return times.withColumn("__mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
