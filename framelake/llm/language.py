@@ -19,8 +19,8 @@ MARK = "▁"
 #: Letters of a word; longer runs count as several words, so no product of probabilities underflows.
 LETTERS = r"\p{L}{1,32}"
 #: Bounds of the fit: documents of each language (chosen by a hash of their id), languages, and rounds.
-TRAIN_DOCS, MAX_LANGUAGES, ROUNDS, PSEUDO = 4000, 200, 4, 0.05
-WORD_CACHE = 200_000
+TRAIN_DOCS, MAX_LANGUAGES, ROUNDS, PSEUDO = 1500, 200, 4, 0.05
+WORD_CACHE = 100_000
 UNKNOWN = "und"
 
 

@@ -25,7 +25,8 @@ from .vocab import default_path, pieces
 MARK = "▁"
 #: Characters of a chunk; longer texts are encoded by chunks that any executor may take.
 CHUNK = 32_768
-CACHE = 150_000
+#: Strings whose ids a worker keeps (with twice as many steps and a quarter as many prefixes), and the length of those.
+CACHE, PREFIX = 120_000, 6
 START = (0, 0)  # the state before a text; a state is (characters before the boundary, after it) of a piece
 
 
@@ -46,15 +47,18 @@ class Lattice:
 
     def __init__(self, path: str) -> None:
         names, scores, is_byte = pieces(path)
-        self.names, self.is_byte = names, is_byte
+        self.names = names
         self.ids = {p: i for i, p in enumerate(names) if i > 2 and not is_byte[i]}
         self.score = {p: scores[i] for p, i in self.ids.items()}
         self.bytes = [next(i for i, p in enumerate(names) if is_byte[i] and p == f"<0x{b:02X}>") for b in range(256)]
+        self.raw = [bytes([int(p[3:5], 16)]) if is_byte[i] else p.encode() for i, p in enumerate(names)]
         self.longest = max(map(len, self.ids))
         self.steps: dict[str, Follow] = {}
         self.opening = Follow(self, "")
         self.n_steps = 0
         self.words: dict[str, array] = {}
+        self.older: dict[str, array] = {}
+        self.prefixes: dict[str, tuple[list[Follow], list[int], list[int]]] = {}
         # No piece holds a mark after another character, a character without a piece, or a letter beside one of the
         # signs that no piece joins to letters: texts fall apart there.
         pairs = {a + b for p in self.ids for a, b in zip(p, p[1:])}
@@ -145,14 +149,22 @@ class Lattice:
         if n == 1:
             return array("i", self.codes(text))
         ids, steps, longest = self.ids, self.steps, self.longest
-        rows, size, code = [self.opening] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
+        # Paths of a prefix do not depend on what follows, so words share those of their first characters.
+        first = text[:PREFIX]
+        known = self.prefixes.get(first) if n > PREFIX else None
+        rows, size, code = known or ([self.opening], [0], [0])
+        begin, rows, size, code = len(rows), rows + [None] * (n + 1 - len(rows)), size + [0] * (n + 1 - len(size)), code + [0] * (n + 1 - len(code))
+        for end in range(begin, n + 1):
             for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):
                 piece = text[start:end]
                 if piece in ids and rows[start][piece]:
                     size[end], code[end] = end - start, ids[piece]
                     rows[end] = steps.get(piece) or self.follow(piece)
                     break
+        if known is None and n > PREFIX:
+            if len(self.prefixes) > CACHE // 4:
+                self.prefixes.clear()
+            self.prefixes[first] = rows[: PREFIX + 1], size[: PREFIX + 1], code[: PREFIX + 1]
         out = array("i")
         while n:
             out.append(code[n])
@@ -162,27 +174,22 @@ class Lattice:
 
     def encode(self, escaped: str) -> array:
         """Ids of a string that starts and ends where texts fall apart."""
-        out, words = array("i"), self.words
+        out = array("i")
         for u in self.units.findall(escaped):
-            got = words.get(u)
-            if got is None:
-                if len(words) > CACHE:
-                    words.clear()
-                got = self.unit(u)
-                if len(u) < 64:
-                    words[u] = got
-            out.extend(got)
+            out.extend(self.words.get(u) or self.remembered(u))
         return out
 
+    def remembered(self, u: str) -> array:
+        """Ids of a string that is not among the recent ones; those of the last generation come back, others are told anew."""
+        got = self.older.get(u) or self.unit(u)
+        if len(u) < 64:
+            if len(self.words) > CACHE // 2:
+                self.words, self.older = {}, self.words
+            self.words[u] = got
+        return got
+
     def decode(self, ids: list[int]) -> str:
-        names, is_byte = self.names, self.is_byte
-        if not any(map(is_byte.__getitem__, ids)):
-            text = "".join(map(names.__getitem__, ids))
-        else:
-            raw = bytearray()
-            for i in ids:
-                raw += bytes([int(names[i][3:5], 16)]) if is_byte[i] else names[i].encode()
-            text = raw.decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text.replace(MARK, " ")[1:]
 
     # Chunks of giant documents. `left` and `right` are the neighbouring characters, up to the longest piece.
@@ -362,7 +369,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = lattice(path)
         for b in batches:
-            texts = [codec.decode(x.as_py() or []) if not isinstance(x.as_py(), list) else codec.decode(x.values.to_numpy().tolist()) for x in b.column(at)]
+            texts = [codec.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
