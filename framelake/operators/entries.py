@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,22 @@ def normalised_box(x: Column, y: Column, w: Column, h: Column, width: Column, he
     """A box relative to its image, each side within 0 and 1; without a label it is an `Object`."""
     unit = lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), a / b))
     return F.struct(F.coalesce(label, F.lit("Object")).alias("label"), unit(x, width).alias("x"), unit(y, height).alias("y"), unit(w, width).alias("w"), unit(h, height).alias("h"))
+
+
+def compared(rows: DataFrame, by: str, order: str, most: int = 4, key: str = "key") -> DataFrame:
+    """The compare set of each `by`: the last `most` keys chosen, as a fifth drops the oldest."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc(), F.col(key).desc()))
+    return rows.withColumn("slot", place).where(F.col("slot") <= most)
+
+
+def united(*chosen: DataFrame, key: str = "key") -> DataFrame:
+    """Keys that are in any of the tables, each once."""
+    out = chosen[0].select(key)
+    for other in chosen[1:]:
+        out = out.union(other.select(key))
+    return out.distinct()
+
+
+def owning_group(keys: DataFrame, members: DataFrame, key: str = "key", group: str = "component") -> DataFrame:
+    """(key, group) of the keys that a group holds; of several groups the first."""
+    return keys.select(key).distinct().join(members.groupBy(key).agg(F.min(group).alias(group)), key)

@@ -127,6 +127,11 @@ ORACLES = {
         SELECT c_custkey AS key, c_name, o_totalprice AS price FROM customer JOIN f ON c_custkey = o_custkey AND n = 1""",
     "immutable_update": f"WITH {EV} SELECT key, round(CASE WHEN iso > 8000 THEN sharpness * 2 ELSE sharpness END, 4) AS sharpness, path FROM ev",
     "toggle_selection": f"WITH {EV} SELECT key FROM ev WHERE (iso > 3000) <> (iso < 6000)",
+    "compare_set": f"""WITH {EV}, u AS (SELECT key, t, regexp_extract(path, 'u([0-9]+)', 1) AS user FROM ev)
+        SELECT key, user, row_number() OVER (PARTITION BY user ORDER BY t DESC, key DESC) AS slot FROM u QUALIFY slot <= 4""",
+    "united_selection": f"WITH {EV} SELECT key FROM ev WHERE iso > 7000 OR exposure < 0.2 OR sharpness > 80",
+    "exclude_in_flight": f"WITH {EV} SELECT key, path FROM ev WHERE iso > 2000 AND NOT exposure < 0.5 AND NOT sharpness > 80",
+    "owning_group": f"WITH {ISLANDS} SELECT isl.key, first_key FROM isl JOIN grp USING (component) WHERE iso > 5000",
     "all_but_best": f"WITH {NOFACE} SELECT a.key, b.key AS best_key FROM ran a JOIN ran b USING (component) WHERE a.rank > 1 AND b.rank = 1",
     "best_or_first": f"""WITH {NOFACE}, l AS (SELECT * FROM ran WHERE iso <= 6000)
         SELECT component, coalesce(min(key) FILTER (rank = 1), min(key)) AS key FROM l GROUP BY component""",

@@ -391,6 +391,28 @@ def toggle_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.toggled(e.where("iso > 3000"), e.where("iso < 6000"))
 
 
+def compare_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last four photos."""
+    e = photos_of_events(spark, sf_dir).withColumn("user", F.regexp_extract("path", "u([0-9]+)", 1))
+    return entries.compared(e, "user", "t").select("key", "user", F.col("slot").cast("long").alias("slot"))
+
+
+def united_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = photos_of_events(spark, sf_dir)
+    return entries.united(e.where("iso > 7000"), e.where("exposure < 0.2"), e.where("sharpness > 80"))
+
+
+def exclude_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = photos_of_events(spark, sf_dir)
+    return entries.without(e.where("iso > 2000"), e.where("exposure < 0.5"), e.where("sharpness > 80")).select("key", "path")
+
+
+def owning_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _bursts(spark, sf_dir)
+    first = members.groupBy("component").agg(F.min("key").alias("first_key"))
+    return entries.owning_group(members.where("iso > 5000"), members.join(first, "component"), group="first_key")
+
+
 def _best(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ranked = _ranked(spark, sf_dir, "noface")
     return ranked, ranked.where("rank = 1").select("component", "key")
@@ -447,6 +469,6 @@ QUERIES: dict[str, Query] = {
         candidate_pairs, burst_pairs, hamming_pairs, bhattacharyya_pairs, adaptive_hsv, iou_pairs, semantic_pairs, orb_match, composite_edges, composite_groups,
         burst_groups, burst_components, best_score_burst, best_score_noface, best_score_face, burst_best, group_order, portrait_order, summary_counts,
         main_faces, face_quality, eyes_closed, portrait_blend, mean_top4, exposure_score, semantic_enrich,
-        feature_join, immutable_update, toggle_selection, all_but_best, best_or_first, export_plan, filing_plan, filing_report, delete_plan, prune_groups,
+        feature_join, immutable_update, toggle_selection, compare_set, united_selection, exclude_in_flight, owning_group, all_but_best, best_or_first, export_plan, filing_plan, filing_report, delete_plan, prune_groups,
     )
 }
