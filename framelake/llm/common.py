@@ -1,13 +1,14 @@
-"""What the corpus operators share: word patterns, tables, and where lineage is cut."""
+"""What the corpus operators share: word patterns, tables, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 #: White space and words of all contracts, as Java (and Python) patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,21 +23,6 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder, so that later passes read it instead of recomputing it.
-
-    The folder is the cluster's `spark.checkpoint.dir`; only where that is unset (local tests) one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Like `cut`, but as a Parquet table in the shared folder, whose size Spark then knows when it chooses a join."""
     spark = df.sparkSession
