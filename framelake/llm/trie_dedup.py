@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, text_of
 
 #: Bytes of keys that a task's trie holds before it spills its heaviest subtree.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 16 << 20
 OWNERS = "content_hash long, n_bytes int, text binary, keep_id {id}, n long"
 
 
