@@ -83,11 +83,24 @@ ORACLES = {
         p AS (SELECT DISTINCT a.key AS a, b.key AS b FROM o a JOIN o b ON a.camera = b.camera AND a.t = b.t AND a.key < b.key),
         n AS (SELECT p.key AS a, q.key AS b, count(*) AS n FROM o p JOIN o q ON p.camera = q.camera AND p.t = q.t AND p.key < q.key AND p.label = q.label AND {IOU.format("p", "q")} >= 0.4 GROUP BY ALL)
         SELECT a, b, coalesce(n, 0)::bigint AS matches, coalesce(n, 0) >= 2 AS similar FROM p LEFT JOIN n USING (a, b)""",
+    "semantic_window_pairs": f"""WITH o AS (
+          SELECT o_orderkey AS key, epoch_us(o_orderdate) // 1000000 AS t, l_returnflag AS label, l_discount AS x, l_tax AS y, l_quantity / 50 AS w, l_discount + 0.1::double AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        f AS (SELECT DISTINCT key, t FROM o), {PAIRS.format("f")},
+        n AS (SELECT p.a, p.b, count(*) AS n FROM pairs p JOIN o x ON x.key = p.a JOIN o y ON y.key = p.b WHERE x.label = y.label AND {IOU.format("x", "y")} >= 0.4 GROUP BY ALL)
+        SELECT a, b, coalesce(n, 0)::bigint AS matches, coalesce(n, 0) >= 2 AND tb - ta <= 180 AS similar FROM pairs LEFT JOIN n USING (a, b)""",
     "orb_match": f"""WITH {EV}, {HV}, s AS (SELECT key, key // 8 AS shot, high, low FROM hv),
         p AS (SELECT DISTINCT a.shot AS a, b.shot AS b FROM s a JOIN s b ON a.shot + 1 = b.shot),
         n AS (SELECT x.shot AS a, count(*) AS n FROM s x WHERE EXISTS (SELECT 1 FROM s y WHERE y.shot = x.shot + 1 AND {BITS} <= {LOOSE.orb_max_hamming}) GROUP BY x.shot)
         SELECT a, b, coalesce(n, 0)::bigint AS matches, coalesce(n, 0) >= {LOOSE.orb_min_matches} AS similar FROM p LEFT JOIN n USING (a)""",
     "composite_edges": f"WITH {EDGES} SELECT a, b FROM edges",
+    "composite_all_edges": f"""WITH {EV}, {HV}, {HV_PAIRS}, s AS (SELECT key // 8 AS shot, high, low FROM hv),
+        o AS (SELECT l_orderkey AS key, l_returnflag AS label, l_discount AS x, l_tax AS y, l_quantity / 50 AS w, l_discount + 0.1::double AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        n AS (SELECT p.a, p.b, count(*) AS n FROM pairs p JOIN o x ON x.key = p.a JOIN o y ON y.key = p.b WHERE x.label = y.label AND {IOU.format("x", "y")} >= 0.4 GROUP BY ALL),
+        d AS (SELECT DISTINCT a // 8 AS sa, b // 8 AS sb FROM pairs),
+        m AS (SELECT d.sa, d.sb, count(*) AS m FROM d JOIN s x ON x.shot = d.sa WHERE EXISTS (SELECT 1 FROM s y WHERE y.shot = d.sb AND {BITS} <= {LOOSE.orb_max_hamming}) GROUP BY ALL)
+        SELECT p.a, p.b FROM pairs p JOIN hv x ON x.key = p.a JOIN hv y ON y.key = p.b LEFT JOIN n ON n.a = p.a AND n.b = p.b LEFT JOIN m ON m.sa = p.a // 8 AND m.sb = p.b // 8
+        WHERE NOT ({BHATTACHARYYA.format("x.hist", "y.hist")} > {LOOSE.max_color_distance})
+          AND (tb - ta <= 15 OR coalesce(n.n, 0) >= 2 AND tb - ta <= 180 OR coalesce(m.m, 0) >= {LOOSE.orb_min_matches} OR {BITS} <= {LOOSE.max_phash})""",
     "composite_groups": f"WITH RECURSIVE {EDGES}{CLOSURE.format('hv')}",
     "burst_groups": f"WITH {ISLANDS} SELECT first_key, size, earliest, latest, is_burst FROM grp",
     "burst_components": f"WITH {ISLANDS} SELECT key, min(key) OVER (PARTITION BY component) AS component FROM isl",
