@@ -28,16 +28,26 @@ BLOCKS = set(
 #: An opening tag ends an open element of these names, up to the nearest of the names after the bar.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"html", "head", "body"}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "label", "dialog", "menu", "fieldset"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
+FURNITURE = {"nav", "footer", "aside", "button", "select", "label", "dialog", "menu"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+#: Some pages lie in one form as a whole, so a form counts like a word.
+FORMS = {"form", "fieldset"}
 #: Words of class and id names that mark furniture of a page.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert newsletter subscribe signup paywall popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer sidebar aside related recommended recommendations widget share sharing social comment comments commentlist respond reply replies disqus login search skip toolbar masthead sitemap copyright disclaimer".split()
 )
 HEADER_MARKS = {"header", "topbar", "masthead"}
+#: Names that begin or end with these tell a state of an element that has such furniture somewhere (has-sidebar, comments-open).
+BEFORE = {"has", "have", "with", "without", "no", "is", "hide", "hides", "show", "shows"}
+AFTER = {"open", "closed", "enabled", "disabled", "on", "off", "active", "left", "right", "none"}
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: Smoothness: cost of a label change between blocks next to each other, and between those with one parent.
 NEXT, SIBLING = 4, 6
+#: Cost of a block inside furniture by its tag or role, and at most by all ancestors together; cost of a form or a word.
+CERTAIN, LIKELY = 120, 60
+#: Shares of the page's text (that the classifier likes): an element with the first or less costs all, with the second or more,
+#: as a wrapper of the page, nothing.
+PART, WRAPPER = 1 / 2, 2 / 3
 
 
 @dataclass
@@ -46,10 +56,13 @@ class Block:
     parent: int
     tag: str
     score: int  # over 0: cost of calling it boilerplate; under 0: of calling it content
+    article: bool = False  # inside an article or main element
+    mark: int = 0  # the innermost ancestor that a tag, role or name marks as furniture; 0 if there is none
 
 
 def _marks(attrs: dict[str, str]) -> set[str]:
-    return {p.lower() for p in NAME_PART.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
+    names = [[p.lower() for p in NAME_PART.findall(x)] for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    return {p for x in names if x and not (len(x) > 1 and (x[0] in BEFORE or x[-1] in AFTER)) for p in x}
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -60,8 +73,10 @@ def _hidden(attrs: dict[str, str]) -> bool:
 def parse(page: str) -> list[Block]:
     """Blocks of text in page order, each with its parent element and its classifier score."""
     blocks: list[Block] = []
-    # Open elements: name, number, inside furniture, inside an article or main element, inside a page header.
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # Marked elements: the next one around it, and whether it is certain.
+    marked: list[tuple[int, bool]] = [(0, False)]
+    # Open elements: name, number, innermost marked element, inside an article or main element, inside a page header.
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
     parts: list[str] = []
     state = {"links": 0, "chars": 0, "in_link": 0, "p": 0}
     number, at, size = 0, 0, len(page)
@@ -73,7 +88,7 @@ def parse(page: str) -> list[Block]:
         state["links"] = state["chars"] = 0
         if text:
             holder = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
-            blocks.append(Block(text, holder[1], holder[0], classify(text, holder, links / max(1, chars))))
+            blocks.append(Block(text, holder[1], holder[0], classify(text, holder, links / max(1, chars)), holder[3], holder[2]))
 
     def close(depth: int) -> None:
         state["in_link"] -= sum(x[0] == "a" for x in stack[depth:])
@@ -125,27 +140,53 @@ def parse(page: str) -> list[Block]:
                         close(k)
                         break
         attrs = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(m["attrs"])} if m["attrs"].strip(" /\n\t") else {}
-        _, _, furniture, article, header = stack[-1]
+        _, _, mark, article, header = stack[-1]
         marks = _marks(attrs)
         whole = name in ("html", "body", "main", "article")
-        furniture |= name in FURNITURE or attrs.get("role", "").lower() in ROLES or _hidden(attrs)
-        furniture |= bool(marks & MARKS) if not whole else name == "article" and bool(marks & {"comment", "reply", "ad", "advert", "sponsored", "promo", "related"})
+        role = attrs.get("role", "").lower()
+        certain = name in FURNITURE or role in ROLES or _hidden(attrs)
+        likely = name in FORMS or role == "form" or (bool(marks & MARKS) if not whole else name == "article" and bool(marks & {"comment", "reply", "ad", "advert", "sponsored", "promo", "related"}))
+        if certain or likely:
+            marked.append((mark, certain))
+            mark = len(marked) - 1
         header |= not article and (name == "header" or bool(marks & HEADER_MARKS) and not whole)
-        article |= name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
+        article |= name in ("article", "main") or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
         number += 1
-        stack.append((name, number, furniture, article, header))
+        stack.append((name, number, mark, article, header))
         state["in_link"] += name == "a"
         state["p"] += name == "p"
     flush()
-    if any(b.score >= 1000 for b in blocks):  # the page names its article: what lies outside is less likely content
+    costs = mark_costs(blocks, marked)
+    for b in blocks:
+        b.score += (30 if b.article and costs[b.mark] < LIKELY // 2 else 0) - costs[b.mark]
+    if any(b.article and b.score > 0 and costs[b.mark] < LIKELY // 2 for b in blocks):  # the page names its article: what lies outside is less likely content
         for b in blocks:
-            b.score = b.score - 1000 if b.score >= 500 else b.score - 25
+            b.score -= 0 if b.article else 25
     return blocks
 
 
-def classify(text: str, holder: tuple[str, int, bool, bool, bool], links: float) -> int:
-    """Log odds of content, in tenths; 1000 more inside an article."""
-    name, _, furniture, article, header = holder
+def mark_costs(blocks: list[Block], marked: list[tuple[int, bool]]) -> list[int]:
+    """By marked element, what it and those around it cost a block: less the more of the page's text it holds, and bounded."""
+    sure = [False] * len(marked)
+    for k in range(1, len(marked)):
+        sure[k] = marked[k][1] or sure[marked[k][0]]
+    below = [0] * len(marked)
+    for b in blocks:
+        if b.score > 0 and not sure[b.mark]:
+            below[b.mark] += len(b.text)
+    for k in range(len(marked) - 1, 0, -1):  # an element comes after those around it
+        below[marked[k][0]] += below[k]
+    costs = [0] * len(marked)
+    for k in range(1, len(marked)):
+        share = below[k] / max(1, below[0])
+        own = CERTAIN if marked[k][1] else round(LIKELY * min(1, max(0, WRAPPER - share) / (WRAPPER - PART)))
+        costs[k] = min(CERTAIN, costs[marked[k][0]] + own)
+    return costs
+
+
+def classify(text: str, holder: tuple[str, int, int, bool, bool], links: float) -> int:
+    """Log odds of content, in tenths, apart from marked ancestors and the article."""
+    name, _, _, _, header = holder
     words = len(text.split())
     score = 6 + (10 if name in ("p", "blockquote", "pre") else 8 if name in ("h1", "h2", "h3") else 0)
     score += 20 if words >= 30 else 12 if words >= 12 else 0 if words >= 5 else -5
@@ -156,10 +197,6 @@ def classify(text: str, holder: tuple[str, int, bool, bool, bool], links: float)
         score -= 60
     if re.search(r"©|\(c\) ?[12]\d\d\d|all rights reserved", text, re.I) and words < 40:
         score -= 30
-    if article:
-        score += 1030
-    if furniture:
-        score = (1000 if article else 0) - 120
     return score
 
 
