@@ -9,8 +9,10 @@ from .common import text_of
 
 #: Words of a shingle, shingles of a window (so neighbouring windows share four words), bands of one minimum each.
 #: A window of six words with one of its two shingles from a template misses it with probability 2 ** -10; a notice
-#: of six words or more fills some window or meets several, and a window that it fills is always retrieved.
+#: of six words or more fills some window or meets several, and a window that it fills is always retrieved. A template
+#: of one shingle is looked up by that shingle itself, as band ALONE, and never missed.
 SHINGLE, WINDOW, BANDS = 5, 2, 10
+ALONE = -1
 MIN_CONTAINMENT = 0.8
 #: The template table is sent to all tasks; a larger one is refused.
 MAX_TEMPLATE_WORDS = 50_000
@@ -87,18 +89,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containme
     table = template_table(spark, templates)
     # A template is indexed by the minima of all its windows of up to WINDOW shingles, as a text window may hold any of them.
     keys = table.select("template", "t", F.size("t").alias("t_size"), F.explode("t").alias("s")).select("template", "t", "t_size", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), band(b, F.col("s")).alias("key")) for b in range(BANDS)])).alias("k"))
-    index = keys.select("template", "t", "t_size", "k.b", "k.key")
-    found = keys.select("k.b", "k.key").distinct().collect()  # BANDS numbers for each of at most MAX_TEMPLATE_WORDS shingles
-    by_band = {b: [r.key for r in found if r.b == b] for b in range(BANDS)}
+    alone = table.where(F.size("t") == 1).select("template", "t", F.size("t").alias("t_size"), F.lit(ALONE).alias("b"), F.get("t", F.lit(0)).alias("key"))
+    index = keys.select("template", "t", "t_size", "k.b", "k.key").union(alone)
+    found = index.select("b", "key").distinct().collect()  # BANDS numbers for each of at most MAX_TEMPLATE_WORDS shingles
+    by_band = {b: [r.key for r in found if r.b == b] for b in (ALONE, *range(BANDS))}
     reach = max((len(x.split()) for x in templates.values()), default=0)
 
     words, hashes = shingles(text_of(text_col))
     hashed = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).select("doc_id", hashes.alias("h"))
-    may_hit = lambda i: _any([F.lit(False), *(minimum(b, i).isin(by_band[b]) for b in range(BANDS) if by_band[b])])
+    may_hit = lambda i: _any([F.lit(False), *(minimum(b, i).isin(by_band[b]) for b in range(BANDS) if by_band[b]), *(F.coalesce(F.get("h", i + k), F.get("h", i)).isin(by_band[ALONE]) for k in range(WINDOW) if by_band[ALONE])])
     grid = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(WINDOW))).otherwise(F.array().cast("array<int>"))
     hits = hashed.withColumn("at", F.explode(F.filter(grid, may_hit)))
     start = F.greatest(F.col("at") - reach, F.lit(0))
-    near = hits.select("doc_id", "at", F.slice("h", start + 1, F.lit(2 * reach + WINDOW)).alias("near"), (F.col("at") - start).alias("offset"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), minimum(b, F.col("at")).alias("key")) for b in range(BANDS)])).alias("k"))
+    near = hits.select("doc_id", "at", F.slice("h", start + 1, F.lit(2 * reach + WINDOW)).alias("near"), (F.col("at") - start).alias("offset"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), minimum(b, F.col("at")).alias("key")) for b in range(BANDS)], *[F.struct(F.lit(ALONE).alias("b"), F.get("h", F.col("at") + k).alias("key")) for k in range(WINDOW)])).alias("k"))
     pairs = near.join(F.broadcast(index), (F.col("k.b") == index.b) & (F.col("k.key") == index.key))
     low = F.greatest(F.col("offset") - F.col("t_size"), F.lit(0))
     around = F.slice("near", low + 1, F.col("offset") - low + F.col("t_size") + WINDOW)
