@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..lineage import cut
 
@@ -18,9 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name as it is: a dot in it is no field of a struct."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def text_of(column: str) -> Column:
     """The whole text; null counts as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(quoted(column), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def widened(df: DataFrame, **columns: DataType) -> StructType:
+    """The schema of `df` and more columns, whatever names and types it has."""
+    return StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in columns.items())])
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches of at most so many rows and about so many bytes, so that what a worker makes of one stays small."""
+    for b in batches:
+        step = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        yield from (b.slice(k, step) for k in range(0, b.num_rows, step))
 
 
 def saved(df: DataFrame) -> DataFrame:
