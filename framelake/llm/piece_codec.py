@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..lineage import cut
-from .common import text_of
+from .common import quoted, slices, text_of, widened
 from .vocab import default_path, pieces
 
 MARK = "▁"
@@ -28,6 +28,8 @@ MARK = "▁"
 CHUNK = 32_768
 #: Strings whose ids a worker keeps (with twice as many steps and a quarter as many prefixes), and the length of those.
 CACHE, PREFIX = 120_000, 6
+#: Matrices that one task combines.
+FAN = 64
 START = (0, 0)  # the state before a text; a state is (characters before the boundary, after it) of a piece
 
 
@@ -52,7 +54,6 @@ class Lattice:
         self.ids = {p: i for i, p in enumerate(names) if i > 2 and not is_byte[i]}
         self.score = {p: scores[i] for p, i in self.ids.items()}
         self.bytes = [next(i for i, p in enumerate(names) if is_byte[i] and p == f"<0x{b:02X}>") for b in range(256)]
-        self.raw = [bytes([int(p[3:5], 16)]) if is_byte[i] else p.encode() for i, p in enumerate(names)]
         self.longest = max(map(len, self.ids))
         self.steps: dict[str, Follow] = {}
         self.opening = Follow(self, "")
@@ -189,10 +190,6 @@ class Lattice:
             self.words[u] = got
         return got
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text.replace(MARK, " ")[1:]
-
     # Chunks of giant documents. `left` and `right` are the neighbouring characters, up to the longest piece.
 
     def states(self, left: str, right: str) -> list[tuple[int, int]]:
@@ -275,6 +272,24 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> list[bytes]:
+    """What each id stands for, in UTF-8; decoding needs no more."""
+    names, _, is_byte = pieces(path)
+    return [bytes([int(p[3:5], 16)]) if is_byte[i] else p.encode() for i, p in enumerate(names)]
+
+
+@lru_cache(maxsize=1)
+def longest_piece(path: str) -> int:
+    names, _, is_byte = pieces(path)
+    return max(len(p) for i, p in enumerate(names) if i > 2 and not is_byte[i])
+
+
+def decoded(raw: list[bytes], ids: Iterable[int]) -> str:
+    """The text of some ids: marks become spaces, and the one in front goes."""
+    return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
+
+
 def escaped(text: str) -> str:
     """The model's normalisation: spaces become marks and one mark goes in front; nothing else changes."""
     return MARK + text.replace(" ", MARK) if text else ""
@@ -288,49 +303,92 @@ def _int_lists(rows: list[array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(memoryview(offsets), pa.int32()), pa.array(memoryview(flat), pa.int32()))
 
 
-def _scan(chunks: pd.DataFrame) -> pd.DataFrame:
-    """Of one document, the state at both ends of each chunk: a scan of matrices forward, then the one path back."""
-    chunks = chunks.sort_values("chunk")
-    matrices = [[tuple(int(v) for v in x) for x in m] for m in chunks["matrix"]]
-    reached, ahead = [], [(*START, *START)]
+def _fold(matrices: list[list[Entry]]) -> list[Entry]:
+    """The product of neighbouring matrices, combined in pairs of pairs."""
+    while len(matrices) > 1:
+        matrices = [compose(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def _path(matrices: list[list[Entry]], entry: tuple[int, int], leave: tuple[int, int]) -> list[Entry]:
+    """The states at both ends of each of some neighbouring chunks, given those at the ends of all: forward, then the one path back."""
+    reached, ahead = [], {entry}
     for m in matrices:
-        ahead = compose(ahead, m)
-        reached.append({x[2:] for x in ahead})
-    leave = next(iter(reached[-1]))
+        ahead = {x[2:] for x in m if x[:2] in ahead}
+        reached.append(ahead)
     states = []
     for k in range(len(matrices) - 1, -1, -1):
-        before = reached[k - 1] if k else {START}
-        entry = next(x[:2] for x in matrices[k] if x[2:] == leave and x[:2] in before)
-        states.append((*entry, *leave))
-        leave = entry
-    columns = ["entry_a", "entry_b", "leave_a", "leave_b"]
-    out = pd.DataFrame(states[::-1], columns=columns)
-    out.insert(0, "doc", chunks["doc"].to_numpy())
-    out.insert(1, "chunk", chunks["chunk"].to_numpy())
-    return out
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of `docs`: doc_id, text (null as empty), n_chunks, ids. Only the two named columns are read.
-
-    Texts of at most `chunk` characters are encoded where they are. Longer ones are cut at fixed places, their chunks
-    dealt out for the matrices, one row per chunk (states only, no text) scanned by document, and chunks dealt out
-    again for the traces. An empty text has no ids; repeated rows each get a result; an empty table gives an empty one.
+        before = reached[k - 1] if k else {entry}
+        first = next(x[:2] for x in matrices[k] if x[2:] == leave and x[:2] in before)
+        states.append((*first, *leave))
+        leave = first
+    return states[::-1]
+
+
+MATRIX = "doc long, chunk int, matrix array<array<int>>"
+STATES = "doc long, chunk int, entry_a int, entry_b int, leave_a int, leave_b int"
+
+
+def _ordered(t: pa.Table) -> tuple[list[dict], list[list[Entry]]]:
+    rows = sorted(t.to_pylist(), key=lambda r: r["chunk"])
+    return rows, [[tuple(x) for x in r["matrix"]] for r in rows]
+
+
+def _scan(matrices: DataFrame, most: int, fan: int) -> DataFrame:
+    """STATES of each chunk: a parallel scan. Going up, a task multiplies `fan` neighbouring matrices into one, until each document
+    has one; going down, the states at the ends of a product give those at the ends of its factors."""
+
+    def up(t: pa.Table) -> pa.Table:
+        rows, found = _ordered(t)
+        return pa.table([pa.array([rows[0]["doc"]], pa.int64()), pa.array([rows[0]["chunk"] // fan], pa.int32()), pa.array([[list(x) for x in _fold(found)]], pa.list_(pa.list_(pa.int32())))], names=["doc", "chunk", "matrix"])
+
+    def down(t: pa.Table) -> pa.Table:
+        rows, found = _ordered(t)
+        first = rows[0]
+        states = _path(found, (first["entry_a"], first["entry_b"]), (first["leave_a"], first["leave_b"]))
+        columns = [pa.array([r[c] for r in rows], kind) for c, kind in (("doc", pa.int64()), ("chunk", pa.int32()))]
+        return pa.table([*columns, *(pa.array([x[i] for x in states], pa.int32()) for i in range(4))], names=["doc", "chunk", "entry_a", "entry_b", "leave_a", "leave_b"])
+
+    levels = [matrices]
+    while most > 1:
+        levels.append(cut(levels[-1].groupBy("doc", F.floor(F.col("chunk") / fan).alias("part")).applyInArrow(up, MATRIX)))
+        most = -(-most // fan)
+    # A document's one product starts at START and has one finite entry from there.
+    end = lambda i: F.col("matrix")[0][i]
+    states = levels[-1].select("doc", "chunk", *[end(i).alias(c) for i, c in enumerate(("entry_a", "entry_b", "leave_a", "leave_b"))])
+    for level in levels[-2::-1]:
+        states = level.withColumn("part", F.floor(F.col("chunk") / fan).cast("int")).join(states.withColumnRenamed("chunk", "part"), ["doc", "part"]).groupBy("doc", "part").applyInArrow(down, STATES)
+    return states
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, chunk: int = CHUNK, fan: int = FAN, verify: bool = False) -> DataFrame:
+    """One row per row of `docs`: doc_id, text (null as empty), n_chunks, ids; with `verify`, instead of the text, round_trip:
+    whether the ids, decoded by the worker that made them, are the text. Only the two named columns are read.
+
+    Texts of fewer than `chunk` characters are encoded where they are. Longer ones are cut at fixed places, their chunks
+    dealt out for the matrices, the matrices combined `fan` at a time (states only, no text), and chunks dealt out again
+    for the traces. An empty text has no ids; repeated rows each get a result; an empty table gives an empty one.
     """
     path = vocabulary or default_path("piece_bpe_32k.model")
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    schema = f"doc_id {id_type}, text string, n_chunks int, ids array<int>"
+    rows = docs.select(quoted(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    schema = f"doc_id {id_type}, n_chunks int, ids array<int>, round_trip boolean" if verify else f"doc_id {id_type}, text string, n_chunks int, ids array<int>"
+
+    def told(b: pa.RecordBatch, n_chunks: pa.Array, lists: list[array], ids: pa.Array) -> pa.RecordBatch:
+        if not verify:
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), n_chunks, ids], names=["doc_id", "text", "n_chunks", "ids"])
+        raw = pieces_of(path)
+        same = [decoded(raw, x) == t for x, t in zip(lists, b.column("text").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), n_chunks, ids, pa.array(same, pa.bool_())], names=["doc_id", "n_chunks", "ids", "round_trip"])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = lattice(path)
-        for b in batches:
-            for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
-                ids = [codec.encode(escaped(t)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([1] * len(ids), pa.int32()), _int_lists(ids)], names=["doc_id", "text", "n_chunks", "ids"])
+        for b in slices(batches, 256, 1 << 20):
+            lists = [codec.encode(escaped(t)) for t in b.column("text").to_pylist()]
+            yield told(b, pa.array([1] * b.num_rows, pa.int32()), lists, _int_lists(lists))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = lattice(path).longest
+        reach = longest_piece(path)
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = escaped(text.as_py())
@@ -340,37 +398,44 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = lattice(path)
-        for b in batches:
+        for b in slices(batches, 16):
             matrices = [codec.transfer(r["left"], r["body"], r["right"], r["chunk"] == 0, r["chunk"] == r["n_chunks"] - 1) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("chunk"), pa.array([[list(x) for x in m] for m in matrices], pa.list_(pa.list_(pa.int32())))], names=["doc", "chunk", "matrix"])
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = lattice(path)
-        for b in batches:
+        for b in slices(batches, 16):
             ids = [codec.trace(r["left"], r["body"], r["right"], (r["entry_a"], r["entry_b"]), (r["leave_a"], r["leave_b"])) for r in b.select(["left", "body", "right", "entry_a", "entry_b", "leave_a", "leave_b"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("chunk"), _int_lists(ids)], names=["doc", "chunk", "ids"])
 
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64, 1 << 20):
+            yield told(b, b.column("n_chunks"), [array("i", x.values.to_numpy().tobytes()) for x in b.column("ids")], b.column("ids"))
+
     is_long = F.length("text") > chunk - 1
     plain = rows.where(~is_long).mapInArrow(short, schema)
     # The few giant rows are written once: their number in the table then stays the same through all that follows.
     giant = cut(rows.where(is_long).withColumn("doc", F.monotonically_increasing_id()))
+    longest = giant.agg(F.max(F.length("text")).alias("n")).first().n or 0
     chunks = giant.select("doc", "text").mapInArrow(split, "doc long, chunk int, n_chunks int, left string, body string, right string").repartition("doc", "chunk")
-    states = chunks.mapInArrow(transfers, "doc long, chunk int, matrix array<array<int>>").groupBy("doc").applyInPandas(_scan, "doc long, chunk int, entry_a int, entry_b int, leave_a int, leave_b int")
+    states = _scan(cut(chunks.mapInArrow(transfers, MATRIX)), max(2, longest // chunk + 1), fan)
     traced = chunks.join(states, ["doc", "chunk"]).mapInArrow(traces, "doc long, chunk int, ids array<int>")
     whole = traced.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias("ids"))
-    return plain.unionByName(giant.join(whole, "doc").select("doc_id", "text", "n_chunks", "ids"))
+    done = giant.join(whole, "doc").select("doc_id", "text", "n_chunks", "ids")
+    return plain.unionByName(done.mapInArrow(checked, schema) if verify else done)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """`encoded` with the column decoded: the text of its ids (null ids count as none). A text with U+2581 comes back with a space there."""
+    """`encoded` with the column decoded (replaced if there is one): the text of its ids. Null ids count as none, and so do null
+    lists. A text with U+2581 comes back with a space there. An empty table gives an empty one."""
     path = vocabulary or default_path("piece_bpe_32k.model")
-    at = encoded.columns.index(ids_col)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded string"
+    rows = encoded.drop("decoded")
+    at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = lattice(path)
-        for b in batches:
-            texts = [codec.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in b.column(at)]
+        raw = pieces_of(path)
+        for b in slices(batches, 256):
+            texts = [decoded(raw, x.values.drop_null().to_pylist() if x.is_valid else []) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return rows.mapInArrow(run, widened(rows, decoded=StringType()))
