@@ -11,13 +11,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from .common import text_of
+from .common import fresh, quoted, slices, widened
 from .vocab import default_path, pieces
 
 MARK = "▁"
-#: Letters of a word; longer runs count as several words, so no product of probabilities underflows.
+#: Letters of a word; longer runs count as several words.
 LETTERS = r"\p{L}{1,32}"
+#: Sums over segmentations carry this factor for each character: all segmentations of a word have the same number of characters,
+#: so it cancels out, and the sums of 33 characters stay within double precision. What still is smaller counts as LEAST.
+FACTOR, LEAST = float(1 << 25), 1e-300
 #: Bounds of the fit: documents of each language (chosen by a hash of their id), languages, and rounds.
 TRAIN_DOCS, MAX_LANGUAGES, ROUNDS, PSEUDO = 1500, 200, 4, 0.05
 WORD_CACHE = 100_000
@@ -34,6 +38,7 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(kept)}
         self.other, self.none = len(kept), len(kept) + 1
         self.longest = max(map(len, kept))
+        self.factor = FACTOR ** np.array([*map(len, kept), 1, 0], float)
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """Ids of words of one length n, as [word, end, size]: the piece of that size that ends there."""
@@ -43,7 +48,7 @@ class Vocabulary:
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Sums over all segmentations of each prefix, as [word, end, language]; p is [piece, language]."""
+    """Sums over all segmentations of each prefix, as [word, end, language]; p is [piece, language], with or without factors."""
     w, n, top = ids.shape
     a = np.zeros((w, n + 1, p.shape[1]))
     a[:, 0] = 1
@@ -62,7 +67,7 @@ def expected(ids: np.ndarray, p: np.ndarray, weight: np.ndarray, counts: np.ndar
     for start in range(n - 1, -1, -1):
         for k in range(1, min(n - start, top) + 1):
             b[:, start] += q[:, start + k - 1, k - 1] * b[:, start + k]
-    scale = weight / a[:, n]
+    scale = weight / np.maximum(a[:, n], LEAST)
     for end in range(1, n + 1):
         for k in range(1, min(end, top) + 1):
             np.add.at(counts, ids[:, end - 1, k - 1], scale * a[:, end - k] * q[:, end - 1, k - 1] * b[:, end])
@@ -90,7 +95,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     maximisation in one task. The model that reaches the driver has at most MAX_LANGUAGES rows of one number a piece.
     """
     path = path or default_path("piece_bpe_32k.model")
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    labelled = docs.select(quoted(id_col).alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).alias("text")).where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -112,7 +117,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for _ in range(ROUNDS):
             c = np.full(v.none + 1, PSEUDO)
             for ids, weight in parts:
-                expected(ids, p, weight, c)
+                expected(ids, p * v.factor, weight, c)
             c[v.none] = 0
             p = c / c.sum()
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "p": [p]})
@@ -124,8 +129,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predictor(model: dict[str, np.ndarray], path: str):
     """A function from a list of texts to (languages, scores); it keeps the scores of recent words."""
     langs = sorted(model)
-    p = np.stack([model[x] for x in langs], axis=1) if langs else None
     v, letters = vocabulary(path), regex.compile(LETTERS)
+    p = np.stack([model[x] for x in langs], axis=1) * v.factor[:, None] if langs else None
     known: dict[str, int] = {}
     table = np.zeros((0, len(langs)))
 
@@ -138,8 +143,9 @@ def predictor(model: dict[str, np.ndarray], path: str):
         new = list({w for ws in words for w in ws}.difference(known)) if langs else []
         if new:
             scores = np.empty((len(new), len(langs)))
-            for g in by_length(new, 4000):
-                scores[g] = np.log(forward(v.lattice([MARK + new[i] for i in g]), p)[:, -1])
+            for g in by_length(new, 2000):
+                sums = forward(v.lattice([MARK + new[i] for i in g]), p)[:, -1]
+                scores[g] = np.log(np.maximum(sums, LEAST)) - (1 + len(new[g[0]])) * np.log(FACTOR)
             known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
             table = np.concatenate([table, scores])
         tags, marks = [], []
@@ -168,26 +174,30 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text
     kept = docs.drop(lang, score)
     at = kept.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES times the pieces, eight bytes each
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, `{lang}` string, `{score}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tell = predictor(sent.value, path)
-        for whole in batches:
-            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                tags, marks = tell(b.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tags, pa.string()), pa.array(marks, pa.float64())], names=[*b.schema.names, lang, score])
+        for b in slices(batches, 500, 1 << 20):
+            tags, marks = tell(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tags, pa.string()), pa.array(marks, pa.float64())], names=[*b.schema.names, lang, score])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, widened(kept, **{lang: StringType(), score: DoubleType()}))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     """The contract's fold: crc32 of the id as text, mod 4, is 2. A null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
+    return F.crc32(F.coalesce(quoted(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
 def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
-    """The rows of `docs`, unchanged, whose language is told with at least `min_score`; the rest (no letters, or no
-    likely language) is rejected. The model is fitted on the labelled rows of `docs` outside the held-out fold."""
+    """The rows of `docs`, unchanged, whose language is told with at least `min_score`; the rest (null or empty texts, no letters,
+    no likely language) is rejected. The model is fitted on the labelled rows of `docs` outside the held-out fold; where there
+    are none, no language can be told, and all rows with a letter are kept. Repeated rows are told alike; an empty table gives
+    an empty one. Extra columns may have any names and types.
+    """
     model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
-    told = predict(docs, model, text_col, lang="__lang_pred", score="__lang_score")
-    return told.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= min_score)).select(*docs.columns)
+    if not model:
+        return docs.where(F.coalesce(quoted(text_col).rlike(r"\p{L}"), F.lit(False)))
+    lang, score = fresh(docs, "lang_pred", "score")
+    told = predict(docs, model, text_col, lang=lang, score=score)
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)
