@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, fresh, quoted, saved, slices, text_of
 
 #: Bytes of keys that a task's trie holds before it spills its heaviest subtree.
 TRIE_BYTES = 16 << 20
@@ -87,10 +88,10 @@ def _key(content_hash: int, n_bytes: int, text: bytes) -> bytes:
     return (content_hash & (1 << 64) - 1).to_bytes(8, "big") + n_bytes.to_bytes(4, "big") + text
 
 
-def _owners(sorted_by_hash: bool, id_type: pa.DataType, budget: int):
-    schema = pa.schema([("content_hash", pa.int64()), ("n_bytes", pa.int32()), ("text", pa.binary()), ("keep_id", id_type), ("n", pa.int64())])
+def _owners(sorted_by_hash: bool, budget: int):
+    fields = [("content_hash", pa.int64()), ("n_bytes", pa.int32()), ("text", pa.binary()), ("n", pa.int64())]
 
-    def batches(rows: Iterator[tuple[bytes, object, int]]) -> Iterator[pa.RecordBatch]:
+    def batches(rows: Iterator[tuple[bytes, object, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
 
         def batch():
@@ -101,7 +102,7 @@ def _owners(sorted_by_hash: bool, id_type: pa.DataType, budget: int):
         for row in rows:
             out.append(row)
             held += len(row[0])
-            if held > 4 << 20 or len(out) >= 5000:
+            if held > 2 << 20 or len(out) >= 2000:
                 yield batch()
                 out, held = [], 0
         if out:
@@ -109,7 +110,7 @@ def _owners(sorted_by_hash: bool, id_type: pa.DataType, budget: int):
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, object, int]]:
         trie, current = PatriciaTrie(), None
-        for b in source:
+        for b in slices(source, 1000, 1 << 20):
             for h, size, text, ident, n in zip(*(b.column(c).to_pylist() for c in ("content_hash", "n_bytes", "text", "keep_id", "n")), strict=True):
                 if sorted_by_hash and h != current:  # the subtree of a hash is complete once the sorted rows have passed it
                     for top in list(trie.roots):
@@ -122,7 +123,10 @@ def _owners(sorted_by_hash: bool, id_type: pa.DataType, budget: int):
             yield from trie.take(top)
 
     def run(source):
-        yield from batches(rows(source))
+        first = next(source, None)
+        if first is not None:  # the ids' type is the column's
+            schema = pa.schema([*fields[:3], ("keep_id", first.schema.field("keep_id").type), fields[3]])
+            yield from batches(rows(chain([first], source)), schema)
 
     return run
 
@@ -141,13 +145,12 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
     trie compares full bytes, letting go of a subtree as soon as the sorted rows have passed it.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     text = normalised(text_col)
-    rows = docs.select(F.xxhash64(text).alias("content_hash"), F.octet_length(text).alias("n_bytes"), F.encode(text, "UTF-8").alias("text"), F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    rows = docs.select(F.xxhash64(text).alias("content_hash"), F.octet_length(text).alias("n_bytes"), F.encode(text, "UTF-8").alias("text"), quoted(id_col).alias("keep_id"), F.lit(1).cast("long").alias("n"))
     schema = OWNERS.format(id=id_type)
-    partial = rows.mapInArrow(_owners(False, arrow, budget), schema)
+    partial = rows.mapInArrow(_owners(False, budget), schema)
     dealt = partial.repartition("content_hash", "n_bytes").sortWithinPartitions("content_hash", "n_bytes")
-    whole = dealt.mapInArrow(_owners(True, arrow, budget), schema)
+    whole = dealt.mapInArrow(_owners(True, budget), schema)
     return whole.select(F.sha2("text", 256).alias("text_sha256"), "text", "keep_id", F.col("n").alias("group_size"))
 
 
@@ -162,15 +165,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     sha = F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)
     same_row = Window.partitionBy("text_sha256", "doc_id").orderBy("doc_id")
-    rows = docs.select(F.col(id_col).alias("doc_id"), sha.alias("text_sha256")).withColumn("nth", F.row_number().over(same_row))
+    rows = docs.select(quoted(id_col).alias("doc_id"), sha.alias("text_sha256")).withColumn("nth", F.row_number().over(same_row))
     joined = rows.join(owners(docs, id_col, text_col).drop("text"), "text_sha256")
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `dedup` keeps, with all their columns. Rows are dealt by digest and id, so copies spread."""
-    sha, keep = "__dedup_sha256", "__dedup_keep"
-    own = owners(docs, id_col, text_col).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep))
-    rows = docs.withColumn(sha, F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)).alias("d")
-    met = rows.join(own.alias("o"), (F.col(f"d.{sha}") == F.col(f"o.{sha}")) & F.col(f"d.{id_col}").eqNullSafe(F.col(keep)))
-    return met.select("d.*").dropDuplicates([sha, id_col]).drop(sha)
+    """The rows of `docs` that `dedup` keeps, with all their columns: of equal texts the one with the smallest id (null ids last;
+    null texts equal empty ones), of rows that repeat both id and text one. Extra columns may have any names and types. An empty
+    table gives an empty one.
+
+    Only (id, hash of the text) of owners of several rows is needed to tell which rows go; texts are compared in the tries alone,
+    and whole rows are dealt out only for owners that repeat an id.
+    """
+    owned = owners(docs, id_col, text_col).where("group_size > 1").select("keep_id", F.unhex("text_sha256").alias("sha"))
+    keep, sha = fresh(docs, "keep", "sha")
+    several = saved(owned.select(F.col("keep_id").alias(keep), F.col("sha").alias(sha)))
+    digest = F.unhex(F.sha2(F.encode(normalised(text_col), "UTF-8"), 256))
+    same_text, same_id = digest == F.col(sha), quoted(id_col).eqNullSafe(F.col(keep))
+    # Rows that go: their text has an owner of another id.
+    rows = docs.join(several, same_text & ~same_id, "left_anti")
+    first = docs.join(several, same_text & same_id, "left_semi").select(quoted(id_col).alias(keep), digest.alias(sha))
+    again = saved(first.groupBy(keep, sha).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if again.isEmpty():
+        return rows
+    once = rows.join(again, same_text & same_id, "left_semi").withColumn(sha, digest).dropDuplicates([id_col, sha]).drop(sha)
+    return rows.join(again, same_text & same_id, "left_anti").union(once)
