@@ -1,6 +1,6 @@
 """A corpus pipeline: documents through five operators, each stage on all that its predecessor kept.
 
-Rows of the result are the encoded documents of the mixture. Exact and near duplicates, hashes and piece ids are not
+Rows of the result are the encoded documents of the mixture; empty tables pass through all stages. Exact and near duplicates, hashes and piece ids are not
 SQL, so there is no ORACLE_SQL; tests/llm/test_pipeline.py compares the stages with brute-force versions.
 """
 
@@ -16,29 +16,30 @@ from framelake.llm.common import saved, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters or without a likely language go."""
+    """Documents whose language can be told; those without text or letters, or without a likely language, go (see language.accept)."""
     return language.accept(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the smallest id."""
+    """Of documents with equal texts (up to white space; null as empty), the one with the smallest id, null ids last; of repeated rows one."""
     return trie_dedup.survivors(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of five-word shingles and a similarity of 0.8 or more, the one with the smallest id."""
+    """Of documents joined by links of five-word shingles and a similarity of 0.8 or more, the one with the smallest id, null ids
+    last. Documents without words link with nothing and all stay."""
     return jaccard_join.representatives(docs, k=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks for, at most three times."""
+    """Documents as often as their source's target weight asks for, at most three times; null is a source, and null texts have no size."""
     return mixing.mixture(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, and whether they decode to its text."""
-    done = piece_codec.decode(piece_codec.encode(docs))
-    return done.select("doc_id", "n_chunks", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("text") == F.col("decoded")).alias("round_trip"))
+    """Piece ids of each document (none of an empty or null text), and whether they decode to its text; repeated rows each get a row."""
+    done = piece_codec.encode(docs, verify=True)
+    return done.select("doc_id", "n_chunks", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
