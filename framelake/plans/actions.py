@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.scalar import base_name, dir_name
 
 
+#: A file's stem and suffix, and the stem and number of a name that looks as if it had been given one.
+STEM, NUMBERED = r"^(.*?)(\.[^.]*)?$", r"^(.*)_([1-9][0-9]{0,8})(\.[^.]*)?$"
+
+
 def _named(rows: DataFrame, existing: DataFrame | None, order: str) -> DataFrame:
     """`rows` (key, src, dir) with dst: the file's name, with _1, _2 ... before its suffix where a name is taken.
 
-    Names that the folder already has count as taken first, in the order of `existing`.
+    Names that the folder already has (`existing`: dir, name) and the own names of other rows count as taken, so no two rows
+    get one name and none gets a name that is there. Of rows of one name the first in `order` keeps it if it is free.
     """
-    dot = r"^(.*?)(\.[^.]*)?$"
     named = rows.withColumn("name", base_name(F.col("src")))
-    taken = named.select("dir", "name").limit(0).withColumn("held", F.lit(0).cast("long")) if existing is None else existing.groupBy("dir", "name").agg(F.count(F.lit(1)).alias("held"))
+    held = named.select("dir", "name").limit(0) if existing is None else existing.select("dir", "name").distinct()
     place = Window.partitionBy("dir", "name").orderBy(order)
-    met = named.withColumn("nth", F.row_number().over(place) - 1).join(taken, ["dir", "name"], "left")
-    n = F.col("nth") + F.coalesce("held", F.lit(0))
-    unique = F.when(n == 0, F.col("name")).otherwise(F.concat(F.regexp_extract("name", dot, 1), F.lit("_"), n.cast("string"), F.regexp_extract("name", dot, 2)))
-    return met.withColumn("dst", F.concat("dir", F.lit("/"), unique)).drop("name", "nth", "held", "dir")
+    met = named.withColumn("nth", F.row_number().over(place)).join(held.withColumn("held", F.lit(1)), ["dir", "name"], "left")
+    met = met.withColumn("nth", F.col("nth") - F.when(F.col("held").isNull(), 1).otherwise(0))  # 0 keeps the name
+    stem = [F.regexp_extract("name", STEM, i) for i in (1, 2)]
+    parts = [F.regexp_extract("name", NUMBERED, i) for i in (1, 2, 3)]
+    both = named.select("dir", "name").union(held).where(F.col("name").rlike(NUMBERED)).distinct()
+    used = both.select("dir", parts[0].alias("stem"), parts[2].alias("suffix"), parts[1].cast("long").alias("number"))
+    # As many numbers as rows need and names have; those that no name has, in order.
+    asked = met.where("nth > 0").groupBy("dir", "name").agg(F.max("nth").cast("long").alias("most")).select("dir", "name", stem[0].alias("stem"), stem[1].alias("suffix"), "most")
+    room = used.groupBy("dir", "stem", "suffix").agg(F.count(F.lit(1)).alias("n"))
+    tried = asked.join(room, ["dir", "stem", "suffix"], "left").withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most") + F.coalesce("n", F.lit(0)))))
+    free = tried.join(used, ["dir", "stem", "suffix", "number"], "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("dir", "name").orderBy("number"))).select("dir", "name", "nth", "number")
+    unique = F.when(F.col("nth") == 0, F.col("name")).otherwise(F.concat(stem[0], F.lit("_"), F.col("number").cast("string"), stem[1]))
+    return met.join(free, ["dir", "name", "nth"], "left").withColumn("dst", F.concat("dir", F.lit("/"), unique)).drop("name", "nth", "held", "dir", "number")
 
 
 def export_plan(best: DataFrame, photos: DataFrame, folder: str, existing: DataFrame | None = None, order: str = "key") -> DataFrame:
