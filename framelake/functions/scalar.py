@@ -36,9 +36,10 @@ def parse_iso(text: Column) -> Column:
 def parse_f_number(text: Column) -> Column:
     """`a/b` becomes its quotient, else a number, to one decimal without `.0`; what is no number stays; blank is null."""
     t = F.trim(text)
-    number = r"^[0-9]+(?:\.[0-9]+)?$"
-    top, bottom = F.trim(F.split_part(t, F.lit("/"), F.lit(1))), F.trim(F.split_part(t, F.lit("/"), F.lit(2)))
-    ratio = F.when(top.rlike(number) & bottom.rlike(number), F.try_divide(top.try_cast("double"), bottom.try_cast("double")))
+    number = r"^[+-]?(?:[0-9]+|[0-9]*\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+    parts = F.split(t, "/")
+    top, bottom = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
+    ratio = F.when((F.size(parts) == 2) & top.rlike(number) & bottom.rlike(number), F.try_divide(top.try_cast("double"), bottom.try_cast("double")))
     value = F.coalesce(ratio, F.when(t.rlike(number), t.try_cast("double")))
     shown = F.regexp_replace(F.format_string("%.1f", F.round(value, 1)), r"\.0$", "")
     return F.when(t == "", None).otherwise(F.coalesce(F.when(value.isNotNull(), shown), t))

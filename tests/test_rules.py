@@ -104,6 +104,7 @@ def test_exposure(spark):
 
 def test_metadata(spark):
     f = lambda t: one(spark, scalar.parse_f_number(F.lit(t)))
+    assert [f("1/2/3"), f("1e1"), f(".5"), f("28e-1/1"), f("5."), f("/2")] == ["1/2/3", "10", "0.5", "2.8", "5.", "/2"]
     assert [f("14/5"), f("4/1"), f("2.8"), f("f/x"), f(" "), f("1/0")] == ["2.8", "4", "2.8", "f/x", None, "1/0"]  # F22
     t = lambda s: str(one(spark, scalar.parse_exif_time(F.lit(s))))
     assert t("2026:03:19 12:34:56") == t("2026-03-19T12:34:56+09:00") == "2026-03-19 12:34:56" and t("x") == "None" and t("0000:00:00 00:00:00") == "None"  # F23
