@@ -60,17 +60,23 @@ def band(b: int, shingle: Column) -> Column:
     return F.xxhash64(shingle, F.lit(b))
 
 
-def minimum(b: int, start: Column) -> Column:
-    """Band b of the window that begins at shingle `start`: the least hash of its shingles (the last may have fewer)."""
+def window(start: Column) -> list[Column]:
+    """The shingles of the window that begins at shingle `start`; the last window of a text may repeat its first."""
     first = F.get("h", start)
-    return F.least(band(b, first), *[band(b, F.coalesce(F.get("h", start + k), first)) for k in range(1, WINDOW)])
+    return [first, *(F.coalesce(F.get("h", start + k), first) for k in range(1, WINDOW))]
+
+
+def gives_minimum(shingle: Column, start: Column) -> Column:
+    """Whether the shingle gives the minimum of some band of its window."""
+    return _any([band(b, shingle) == F.least(*[band(b, s) for s in window(start)]) for b in range(BANDS)])
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(template, t): each template's distinct shingles."""
+    """(template, t, t_size): each template's distinct shingles, worked out once, so that no plan over it parses texts again."""
     words, hashes = shingles(F.col("text"))
     rows = spark.createDataFrame(sorted(templates.items()), "template string, text string").withColumn("words", words)
-    return rows.select("template", F.array_distinct(hashes).alias("t"))
+    told = rows.select("template", F.array_distinct(hashes).alias("t")).collect()  # at most MAX_TEMPLATE_WORDS numbers
+    return spark.createDataFrame([(r.template, r.t, len(r.t)) for r in told], "template string, t array<bigint>, t_size int")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containment: float = MIN_CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,22 +93,24 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containme
     if sum(len(x.split()) for x in templates.values()) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"the templates hold more than {MAX_TEMPLATE_WORDS} words")
     table = template_table(spark, templates)
-    # A template is indexed by the minima of all its windows of up to WINDOW shingles, as a text window may hold any of them.
-    keys = table.select("template", "t", F.size("t").alias("t_size"), F.explode("t").alias("s")).select("template", "t", "t_size", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), band(b, F.col("s")).alias("key")) for b in range(BANDS)])).alias("k"))
-    alone = table.where(F.size("t") == 1).select("template", "t", F.size("t").alias("t_size"), F.lit(ALONE).alias("b"), F.get("t", F.lit(0)).alias("key"))
-    index = keys.select("template", "t", "t_size", "k.b", "k.key").union(alone)
-    found = index.select("b", "key").distinct().collect()  # BANDS numbers for each of at most MAX_TEMPLATE_WORDS shingles
-    by_band = {b: [r.key for r in found if r.b == b] for b in (ALONE, *range(BANDS))}
-    reach = max((len(x.split()) for x in templates.values()), default=0)
+    # A minimum tells its shingle, so a template is indexed by its shingles; the
+    # templates' sets are sent once each. Both tables grow with the words of the templates, which are bounded above.
+    index = table.select("template", "t_size", F.explode("t").alias("s"))
+    known = index.groupBy("s").agg(F.min("t_size").alias("least")).collect()  # at most MAX_TEMPLATE_WORDS numbers
+    any_of, alone = [r.s for r in known], [r.s for r in known if r.least == 1]
+    reach = table.agg(F.max("t_size")).first()[0] or 0
 
     words, hashes = shingles(text_of(text_col))
     hashed = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).select("doc_id", hashes.alias("h"))
-    may_hit = lambda i: _any([F.lit(False), *(minimum(b, i).isin(by_band[b]) for b in range(BANDS) if by_band[b]), *(F.coalesce(F.get("h", i + k), F.get("h", i)).isin(by_band[ALONE]) for k in range(WINDOW) if by_band[ALONE])])
+    among = lambda s, numbers: s.isin(numbers) if numbers else F.lit(False)
+    may_hit = lambda i: _any([among(s, any_of) & (among(s, alone) | gives_minimum(s, i)) for s in window(i)])
     grid = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(WINDOW))).otherwise(F.array().cast("array<int>"))
     hits = hashed.withColumn("at", F.explode(F.filter(grid, may_hit)))
     start = F.greatest(F.col("at") - reach, F.lit(0))
-    near = hits.select("doc_id", "at", F.slice("h", start + 1, F.lit(2 * reach + WINDOW)).alias("near"), (F.col("at") - start).alias("offset"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), minimum(b, F.col("at")).alias("key")) for b in range(BANDS)], *[F.struct(F.lit(ALONE).alias("b"), F.get("h", F.col("at") + k).alias("key")) for k in range(WINDOW)])).alias("k"))
-    pairs = near.join(F.broadcast(index), (F.col("k.b") == index.b) & (F.col("k.key") == index.key))
+    keys = F.array_distinct(F.array(*[F.struct(s.alias("s"), gives_minimum(s, F.col("at")).alias("won")) for s in window(F.col("at"))]))
+    near = hits.select("doc_id", "at", F.slice("h", start + 1, F.lit(2 * reach + WINDOW)).alias("near"), (F.col("at") - start).alias("offset"), F.explode(keys).alias("k"))
+    met = near.join(F.broadcast(index), F.col("k.s") == index.s).where(F.col("k.won") | (F.col("t_size") == 1))
+    pairs = met.select("doc_id", "at", "near", "offset", "template", "t_size").join(F.broadcast(table.select("template", "t")), "template")
     low = F.greatest(F.col("offset") - F.col("t_size"), F.lit(0))
     around = F.slice("near", low + 1, F.col("offset") - low + F.col("t_size") + WINDOW)
     share = F.size(F.array_intersect("t", around)) / F.col("t_size")
