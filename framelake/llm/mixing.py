@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .common import WORD, text_of
+from .common import WORD, fresh, quoted, saved, text_of
 
 HASH_BITS, LEVEL_BITS = 60, 10
 SALTS = 64
@@ -16,13 +16,37 @@ def word_count(text_col: str) -> Column:
     return F.size(F.regexp_extract_all(text_of(text_col), F.lit(WORD), 0)).cast("long")
 
 
-def _hash(id_col: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), F.col(id_col)), 64 - HASH_BITS)
+def _hash(id_col: str, text_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), quoted(id_col), text_of(text_col)), 64 - HASH_BITS)
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One narrow row per row of `docs`: doc_id, source, size in words, and h, a fixed 60-bit hash of the id."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), _hash(id_col).alias("h"))
+    """One narrow row per row of `docs`: doc_id, source, size in words, and h, a fixed 60-bit hash of id and text."""
+    return docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), word_count(text_col).alias("size"), _hash(id_col, text_col).alias("h"))
+
+
+def twins(narrow: DataFrame) -> DataFrame:
+    """(source, h) that several rows share, as rows that repeat id and text do. Counts combine before the shuffle."""
+    return saved(narrow.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source", "h"))
+
+
+def told_apart(rows: DataFrame, shared: DataFrame, source: str = "source", h: str = "h") -> DataFrame:
+    """`rows`, those with a `shared` source and hash numbered and hashed anew with their numbers. Which of some equal rows gets
+    which number does not matter, so reruns agree. Rows are numbered in the parts that they were read in, after those of
+    the parts before, so that no task gets more of a hash than it has read."""
+    if shared.isEmpty():
+        return rows
+    s, t, part, nth, ahead, n = fresh(rows, "s", "t", "part", "nth", "ahead", "n")
+    side = shared.select(F.col("source").alias(s), F.col("h").alias(t))
+    same = quoted(source).eqNullSafe(F.col(s)) & (F.col(h) == F.col(t))
+    equal = cut(rows.withColumn(part, F.spark_partition_id()).join(side, same, "left_semi"))
+    parts = equal.groupBy(quoted(source).alias(s), F.col(h).alias(t), part).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(s, t).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(s, t, F.col(part).alias(f"{part}_"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    numbered = equal.withColumn(nth, F.row_number().over(Window.partitionBy(quoted(source), h, part).orderBy(F.lit(0))))
+    met = numbered.join(parts, same & (F.col(part) == F.col(f"{part}_")))
+    anew = met.withColumn(h, F.shiftrightunsigned(F.xxhash64(F.col(h), F.col(ahead) + F.col(nth)), 64 - HASH_BITS))
+    return rows.join(side, same, "left_anti").union(anew.select(*map(quoted, rows.columns)))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -98,7 +122,7 @@ def salted_join(docs: DataFrame, per_source: DataFrame, source: str = "source",
     the side with one row per source is copied once for each salt. Spark broadcasts it when it measures it as small."""
     side = per_source.withColumnRenamed("source", "__side_source").withColumn("__side_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.col(h), F.lit(SALTS)).cast("int")
-    return docs.join(side, F.col(source).eqNullSafe(F.col("__side_source")) & (salt == F.col("__side_salt"))).drop("__side_source", "__side_salt")
+    return docs.join(side, quoted(source).eqNullSafe(F.col("__side_source")) & (salt == F.col("__side_salt"))).drop("__side_source", "__side_salt")
 
 
 def _copies(passes: str, threshold: str, h: str, most: int) -> Column:
@@ -110,20 +134,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 
     A document is copied once for each whole pass over its source, and once more if its hash lies below the source's
     threshold, so no document is taken more than `max_repeats` times and reruns agree. Null or empty texts have
-    size 0; a null source is a source of its own, the last. Rows that repeat an id share a hash and are taken
-    together. An empty table gives an empty result. Columns other than the three named are not read.
+    size 0; a null source is a source of its own, the last. Rows that repeat an id and a text are told apart by a
+    number, and count one by one. An empty table gives an empty result. Columns other than the three named are not read.
     """
     narrow = cut(sized(docs, id_col, text_col, source_col))
+    narrow = told_apart(narrow, twins(narrow))
     goals = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     joined = salted_join(narrow, thresholds(narrow, goals))
     return joined.withColumn("copies", _copies("passes", "threshold", "h", max_repeats)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs`, with all their columns, each as often as `mix` takes it (rows taken no time are left out)."""
+    """The rows of `docs`, with all their columns, each as often as `mix` takes it (rows taken no time are left out).
+
+    Nulls, empty texts, repeated rows and empty tables count as in `mix`; extra columns may have any names.
+    """
     narrow = cut(sized(docs, id_col, text_col, source_col))
+    shared = twins(narrow)
+    narrow = told_apart(narrow, shared)
     goals = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    limits = thresholds(narrow, goals).select("source", F.col("passes").alias("__mix_passes"), F.col("threshold").alias("__mix_threshold"))
-    rows = salted_join(docs.withColumn("__mix_h", _hash(id_col)), limits, source_col, "__mix_h")
-    times = rows.withColumn("__mix_copies", _copies("__mix_passes", "__mix_threshold", "__mix_h", max_repeats)).where("__mix_copies > 0")
-    return times.withColumn("__mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    h, passes, threshold, copies, nth = fresh(docs, "h", "passes", "threshold", "copies", "nth")
+    limits = thresholds(narrow, goals).select("source", F.col("passes").alias(passes), F.col("threshold").alias(threshold))
+    rows = told_apart(docs.withColumn(h, _hash(id_col, text_col)), shared, source_col, h)
+    times = salted_join(rows, limits, source_col, h).withColumn(copies, _copies(passes, threshold, h, max_repeats)).where(F.col(copies) > 0)
+    return times.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*map(quoted, docs.columns))
