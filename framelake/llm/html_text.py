@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +20,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is no text of the page.
-RAW = {"script", "style", "template", "title", "textarea", "svg", "iframe", "object", "math", "noscript"}
+RAW = {"script", "style", "template", "title", "textarea", "svg", "iframe", "object", "noscript"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -77,6 +77,9 @@ def parse(page: str) -> list[Block]:
     marked: list[tuple[int, bool]] = [(0, False)]
     # Open elements: name, number, innermost marked element, inside an article or main element, inside a page header.
     stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    # How many elements of a name are open, and where in the stack the block elements are.
+    opened: Counter[str] = Counter()
+    holders = [0]
     parts: list[str] = []
     state = {"links": 0, "chars": 0, "in_link": 0, "p": 0}
     number, at, size = 0, 0, len(page)
@@ -87,12 +90,15 @@ def parse(page: str) -> list[Block]:
         links, chars = state["links"], state["chars"]
         state["links"] = state["chars"] = 0
         if text:
-            holder = next(x for x in reversed(stack) if x[0] in BLOCKS or not x[0])
+            holder = stack[holders[-1]]
             blocks.append(Block(text, holder[1], holder[0], classify(text, holder, links / max(1, chars)), holder[3], holder[2]))
 
     def close(depth: int) -> None:
         state["in_link"] -= sum(x[0] == "a" for x in stack[depth:])
         state["p"] -= sum(x[0] == "p" for x in stack[depth:])
+        opened.subtract(x[0] for x in stack[depth:])
+        while holders[-1] >= depth:
+            holders.pop()
         del stack[depth:]
 
     while at < size:
@@ -109,14 +115,14 @@ def parse(page: str) -> list[Block]:
             continue
         name = m["name"].lower()
         if m["close"]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name) if opened[name] else 0
             if name in BLOCKS:
                 flush()
             if depth:
                 close(depth)
             continue
         if name in RAW:
-            if not m["attrs"].rstrip().endswith("/"):
+            if name != "svg" or not m["attrs"].rstrip().endswith("/"):  # of these, a slash ends an svg only
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else size
             parts.append(" ")
@@ -130,7 +136,7 @@ def parse(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
             if name in ENDS_P and state["p"]:
-                close(max(k for k, x in enumerate(stack) if x[0] == "p"))
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"))
             if name in ENDS:
                 ends, until = ENDS[name]
                 for k in range(len(stack) - 1, 0, -1):
@@ -152,7 +158,10 @@ def parse(page: str) -> list[Block]:
         header |= not article and (name == "header" or bool(marks & HEADER_MARKS) and not whole)
         article |= name in ("article", "main") or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
         number += 1
+        if name in BLOCKS:
+            holders.append(len(stack))
         stack.append((name, number, mark, article, header))
+        opened[name] += 1
         state["in_link"] += name == "a"
         state["p"] += name == "p"
     flush()
