@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard_join, language, license_scan, mixing, piece_codec, quality, secret_scan, trie_dedup, url_filter
+from . import bpe_codec, html_text, jaccard_join, language, license_scan, mixing, piece_codec, quality, secret_scan, trie_dedup, url_filter
 from .common import table
 
 
@@ -59,6 +59,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and its ids decoded: number of ids, digest of the ids in decimals, digest of the decoded text."""
+    done = bpe_codec.encode(table(spark, sf_dir, "documents"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLES = {
