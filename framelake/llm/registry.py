@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_text, jaccard_join, language, license_scan, mixing, piece_codec, quality, secret_scan, trie_dedup, url_filter
+from . import bpe_codec, html_text, jaccard_join, language, license_scan, mixing, piece_codec, quality, ranked_search, secret_scan, trie_dedup, url_filter
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
     "op11_bpe": op11_bpe,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLES = {
@@ -145,4 +150,19 @@ ORACLES = {
           ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
           QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(r.host || r.path) DESC) = 1)
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fit""",
+    "op12_ranked_search": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS rid, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'TERM') AS w FROM documents),
+        whole AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::bigint AS terms FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'TERM')) AS term FROM benchmark),
+        word AS (SELECT rid, unnest(w) AS term FROM d),
+        tf AS (SELECT rid, term, count(*) AS tf FROM word WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        weight AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint AS weight FROM tf, whole GROUP BY term, docs),
+        part AS (
+          SELECT rid, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * docs) // terms))) AS part
+          FROM tf JOIN d USING (rid) JOIN weight USING (term), whole),
+        total AS (SELECT item_id, rid, doc_id, sum(part)::bigint AS score FROM part JOIN q USING (term) GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::int AS rank, doc_id, score
+        FROM total WHERE score > 0 QUALIFY rank <= 50""".replace("TERM", ranked_search.TERM),
 }
