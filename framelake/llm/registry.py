@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_text, jaccard_join, language, license_scan, mixing, piece_codec, quality, ranked_search, secret_scan, trie_dedup, url_filter
+from . import bpe_codec, hard_negatives, html_text, jaccard_join, language, license_scan, mixing, piece_codec, quality, ranked_search, secret_scan, trie_dedup, url_filter
 from .common import table
 
 
@@ -70,6 +70,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector as an anchor; some labels are moved on, so that vectors far apart share one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_bpe": op11_bpe,
     "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -165,4 +172,18 @@ ORACLES = {
         total AS (SELECT item_id, rid, doc_id, sum(part)::bigint AS score FROM part JOIN q USING (term) GROUP BY ALL)
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::int AS rank, doc_id, score
         FROM total WHERE score > 0 QUALIFY rank <= 50""".replace("TERM", ranked_search.TERM),
+    "op13_hard_negatives": r"""
+        WITH e AS (
+          SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.rid AS arow, a.vec_id AS anchor_id, a.label AS own, e.rid, e.vec_id, e.label,
+                 list_sum(list_transform(list_zip(a.v, e.v), lambda p: p[1] * p[2]))::bigint AS score
+          FROM e AS a JOIN e ON a.vec_id % 50 = 0 AND a.rid <> e.rid),
+        p AS (SELECT * FROM s WHERE own = label QUALIFY row_number() OVER (PARTITION BY arow ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.arow, p.rid ORDER BY s.score DESC, s.vec_id NULLS LAST)::int AS rank,
+               s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.arow = s.arow AND s.label <> s.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+        QUALIFY rank <= 3""",
 }
