@@ -46,12 +46,11 @@ def groups_of(members: DataFrame, window_s: int, group: str = "component", t: st
     return found.withColumn("is_burst", burst_flag(F.col("n_timed"), F.col("earliest"), F.col("latest"), window_s))
 
 
-def numbered(groups: DataFrame, width: int = 1 << 16) -> DataFrame:
+def numbered(groups: DataFrame) -> DataFrame:
     """Groups with group_id G1, G2 ... by first place in the input, and position: by earliest time, unknown last."""
-    ids = ordinal(groups, F.floor(F.col("first_ord") / width), [F.col("first_ord")], "__id")
+    ids = ordinal(groups, [F.col("first_ord")], "__id")
     named = ids.withColumn("group_id", F.concat(F.lit("G"), F.col("__id").cast("string")))
-    day = F.coalesce(F.floor(F.col("earliest") / 86_400), F.lit((1 << 62)))
-    return ordinal(named, day, [F.col("earliest").asc_nulls_last(), F.col("__id")], "position").drop("__id")
+    return ordinal(named, [F.col("earliest").asc_nulls_last(), F.col("__id")], "position").drop("__id")
 
 
 def portrait_keys(photos: DataFrame, has_face: str = "has_face", t: str = "t") -> DataFrame:

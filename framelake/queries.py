@@ -343,7 +343,7 @@ def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def portrait_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = rank.portrait_keys(photos_of_events(spark, sf_dir).withColumn("has_face", F.col("face") > 0))
-    found = numbering.ordinal(e, F.struct("face_key", F.floor(F.col("time_key") / 86_400)), [F.col("face_key"), F.col("time_key"), F.col("key")], "position")
+    found = numbering.ordinal(e, [F.col("face_key"), F.col("time_key"), F.col("key")], "position")
     return found.select("key", F.col("position").cast("long").alias("position"))
 
 

@@ -134,7 +134,7 @@ def test_islands_match_components(spark):
     pairs = candidates.band_join(rows, 61).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     by_links = {x.key: x.component for x in cluster.label_all(rows, pairs).collect()}
     least = {}
-    for x in numbering.islands(rows, 60, width_s=5000).collect():
+    for x in numbering.islands(rows, 60).collect():
         least.setdefault(x.island, []).append(x.key)
     assert by_links == {k: min(v) for v in least.values() for k in v}
 
@@ -154,7 +154,7 @@ def test_components_of_random_graphs(spark):
 
 def test_numbering_over_buckets(spark):
     rows = spark.createDataFrame([(i, (i * 37) % 101) for i in range(101)], "key long, v long")
-    got = numbering.ordinal(rows, F.floor(F.col("v") / 10), [F.col("v")], "n").collect()
+    got = numbering.ordinal(rows, [F.floor(F.col("v") / 10), F.col("v")], "n").collect()
     assert all(x.n == x.v + 1 for x in got)
 
 
