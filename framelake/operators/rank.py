@@ -35,6 +35,16 @@ def with_scores(members: DataFrame, group: str = "component", is_burst: str = "i
     return scored.withColumn("score", best_score(F.col(is_burst), F.col("s_norm"), F.col("exposure"), F.col("face")))
 
 
+def with_group_scores(members: DataFrame, groups: DataFrame, config: RankConfig = RankConfig()) -> DataFrame:
+    """The same for members and groups (component, is_burst), whatever their sizes: the sharpest of a group is aggregated and
+    joined, so no group's members need to meet."""
+    adjusted = members.withColumn("adjusted", iso_adjusted(F.col("sharpness"), F.col("iso"), config))
+    top = adjusted.groupBy("component").agg(F.greatest(F.lit(config.min_group_max), F.max("adjusted")).alias("__top")).join(groups.select("component", "is_burst"), "component")
+    met = adjusted.join(top, "component")
+    unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("adjusted") / F.col("__top")))
+    return met.withColumn("s_norm", unit).withColumn("score", best_score(F.col("is_burst"), F.col("s_norm"), F.col("exposure"), F.col("face"))).drop("__top")
+
+
 def ranked(scored: DataFrame, group: str = "component", order: str = "input_ord") -> DataFrame:
     """Rank in the group, best first; ties by input order."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), F.col(order))))

@@ -11,13 +11,6 @@ IOU = """CASE WHEN least({0}.x + {0}.w, {1}.x + {1}.w) - greatest({0}.x, {1}.x)
   ELSE (least({0}.x + {0}.w, {1}.x + {1}.w) - greatest({0}.x, {1}.x)) * (least({0}.y + {0}.h, {1}.y + {1}.h) - greatest({0}.y, {1}.y))
      / ({0}.w * {0}.h + {1}.w * {1}.h - (least({0}.x + {0}.w, {1}.x + {1}.w) - greatest({0}.x, {1}.x)) * (least({0}.y + {0}.h, {1}.y + {1}.h) - greatest({0}.y, {1}.y))) END"""
 BHATTACHARYYA = "sqrt(greatest(0.0::double, 1 - list_reduce(list_prepend(0.0::double, list_transform(list_zip({0}, {1}), lambda p: sqrt(p[1] * p[2]))), lambda s, v: s + v)))"
-EDGES = f"""{EV}, {HV}, {HV_PAIRS},
-edges AS (
-  SELECT p.a, p.b FROM pairs p JOIN hv x ON x.key = p.a JOIN hv y ON y.key = p.b
-  WHERE NOT ({BHATTACHARYYA.format("x.hist", "y.hist")} > {LOOSE.max_color_distance}) AND (tb - ta <= 15 OR {BITS} <= {LOOSE.max_phash}))"""
-CLOSURE = """, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-reach AS (SELECT key, key AS other FROM {0} UNION SELECT r.key, e.b FROM reach r JOIN both_ways e ON r.other = e.a)
-SELECT key, min(other) AS component FROM reach GROUP BY key"""
 ISLANDS = f"""{EV}, gap AS (SELECT *, coalesce(t - lag(t) OVER (ORDER BY t, key) > 15, true) AS begins FROM ev),
 isl AS (SELECT *, sum(begins::int) OVER (ORDER BY t, key ROWS UNBOUNDED PRECEDING) AS component FROM gap),
 grp AS (SELECT component, count(*) AS size, min(t) AS earliest, max(t) AS latest, min(key) AS first_key, count(*) >= 2 AND max(t) - min(t) <= 15 AS is_burst FROM isl GROUP BY component)"""
@@ -78,11 +71,6 @@ ORACLES = {
         SELECT a, b, round(wh * {BHATTACHARYYA.format("p[1:16]", "q[1:16]")} + ws * {BHATTACHARYYA.format("p[17:40]", "q[17:40]")} + wv * {BHATTACHARYYA.format("p[41:64]", "q[41:64]")}, 6) AS distance FROM w""",
     "iou_pairs": f"""WITH o AS (SELECT l_orderkey AS key, l_linenumber AS ord, l_discount AS x, l_tax AS y, l_quantity / 50 AS w, l_discount + 0.1::double AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
         SELECT p.key, p.ord AS i, q.ord AS j, round({IOU.format("p", "q")}, 6) AS iou FROM o p JOIN o q ON p.key = q.key AND p.ord < q.ord""",
-    "semantic_pairs": f"""WITH o AS (
-          SELECT o_orderkey AS key, o_custkey AS camera, o_orderdate AS t, l_returnflag AS label, l_discount AS x, l_tax AS y, l_quantity / 50 AS w, l_discount + 0.1::double AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-        p AS (SELECT DISTINCT a.key AS a, b.key AS b FROM o a JOIN o b ON a.camera = b.camera AND a.t = b.t AND a.key < b.key),
-        n AS (SELECT p.key AS a, q.key AS b, count(*) AS n FROM o p JOIN o q ON p.camera = q.camera AND p.t = q.t AND p.key < q.key AND p.label = q.label AND {IOU.format("p", "q")} >= 0.4 GROUP BY ALL)
-        SELECT a, b, coalesce(n, 0)::bigint AS matches, coalesce(n, 0) >= 2 AS similar FROM p LEFT JOIN n USING (a, b)""",
     "semantic_window_pairs": f"""WITH o AS (
           SELECT o_orderkey AS key, epoch_us(o_orderdate) // 1000000 AS t, l_returnflag AS label, l_discount AS x, l_tax AS y, l_quantity / 50 AS w, l_discount + 0.1::double AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         f AS (SELECT DISTINCT key, t FROM o), {PAIRS.format("f")},
@@ -92,7 +80,6 @@ ORACLES = {
         p AS (SELECT DISTINCT a.shot AS a, b.shot AS b FROM s a JOIN s b ON a.shot + 1 = b.shot),
         n AS (SELECT x.shot AS a, count(*) AS n FROM s x WHERE EXISTS (SELECT 1 FROM s y WHERE y.shot = x.shot + 1 AND {BITS} <= {LOOSE.orb_max_hamming}) GROUP BY x.shot)
         SELECT a, b, coalesce(n, 0)::bigint AS matches, coalesce(n, 0) >= {LOOSE.orb_min_matches} AS similar FROM p LEFT JOIN n USING (a)""",
-    "composite_edges": f"WITH {EDGES} SELECT a, b FROM edges",
     "composite_all_edges": f"""WITH {EV}, {HV}, {HV_PAIRS}, s AS (SELECT key // 8 AS shot, high, low FROM hv),
         o AS (SELECT l_orderkey AS key, l_returnflag AS label, l_discount AS x, l_tax AS y, l_quantity / 50 AS w, l_discount + 0.1::double AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         n AS (SELECT p.a, p.b, count(*) AS n FROM pairs p JOIN o x ON x.key = p.a JOIN o y ON y.key = p.b WHERE x.label = y.label AND {IOU.format("x", "y")} >= 0.4 GROUP BY ALL),
@@ -101,7 +88,6 @@ ORACLES = {
         SELECT p.a, p.b FROM pairs p JOIN hv x ON x.key = p.a JOIN hv y ON y.key = p.b LEFT JOIN n ON n.a = p.a AND n.b = p.b LEFT JOIN m ON m.sa = p.a // 8 AND m.sb = p.b // 8
         WHERE NOT ({BHATTACHARYYA.format("x.hist", "y.hist")} > {LOOSE.max_color_distance})
           AND (tb - ta <= 15 OR coalesce(n.n, 0) >= 2 AND tb - ta <= 180 OR coalesce(m.m, 0) >= {LOOSE.orb_min_matches} OR {BITS} <= {LOOSE.max_phash})""",
-    "composite_groups": f"WITH RECURSIVE {EDGES}{CLOSURE.format('hv')}",
     "burst_groups": f"WITH {ISLANDS} SELECT first_key, size, earliest, latest, is_burst FROM grp",
     "burst_components": f"WITH {ISLANDS} SELECT key, min(key) OVER (PARTITION BY component) AS component FROM isl",
     "best_score_burst": f"WITH {GROUPED}, {scored('mem', 'burst')} {SCORES}",

@@ -213,19 +213,6 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("key", F.col("p.ord").alias("i"), F.col("q.ord").alias("j"), _round(similarity.iou(F.col("p"), F.col("q"))).alias("iou"))
 
 
-def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by one customer at the very same time, a part of the job; `semantic_window_pairs` compares all photos."""
-    same = F.col("a.camera") == F.col("b.camera")
-    photos = boxes_of_orders(spark, sf_dir)
-    # As its SQL has it: an equi-join on camera and time.
-    a = photos.select("camera", "t", F.struct("*").alias("a"))
-    b = photos.select("camera", "t", F.struct("*").alias("b"))
-    pairs = a.join(b, ["camera", "t"]).where(same & (F.col("a.key") < F.col("b.key")))
-    matches = similarity.object_matches(F.col("a.objects"), F.col("b.objects"), CONFIG.semantic_min_iou)
-    similar = similarity.semantic_similar(F.col("a.t"), F.col("b.t"), F.col("a.objects"), F.col("b.objects"), CONFIG)
-    return pairs.select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb"), matches.cast("long").alias("matches"), similar.alias("similar")).withColumnsRenamed({"ka": "a", "kb": "b"})
-
-
 def semantic_of(photos: DataFrame) -> DataFrame:
     """All pairs of photos within the horizon, whatever their camera: matching objects, and whether they make them similar."""
     matches = similarity.object_matches(F.col("a.objects"), F.col("b.objects"), CONFIG.semantic_min_iou).cast("long")
@@ -249,18 +236,6 @@ def orb_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumnsRenamed({"sa": "a", "sb": "b"})
 
 
-def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    veto = similarity.color_veto(F.col("a.hist"), F.col("b.hist"), LOOSE, similarity.bhattacharyya(F.col("a.hist"), F.col("b.hist")))
-    burst = similarity.seconds_close(F.col("a.t"), F.col("b.t"), CONFIG.burst_window_s)
-    phash = similarity.phash_close(_words("a"), _words("b"), LOOSE.max_phash)
-    no = F.lit(False)
-    return _vector_pairs(spark, sf_dir).where(similarity.similar(veto, burst, no, no, phash)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-
-
-def composite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _composite(spark, sf_dir)
-
-
 def composite_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composite rule with all four grounds: a photo's objects are the lines of the order with its key (or none),
     its descriptors the eight vectors of its shot."""
@@ -277,10 +252,6 @@ def composite_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(similarity.similar(veto, burst, semantic, orb, phash)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
 
 
-def composite_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.label_all(photos_of_vectors(spark, sf_dir).select("key"), _composite(spark, sf_dir))
-
-
 # Groups and ranks.
 
 
@@ -494,7 +465,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         day_facets, date_range, import_cap, ext_filter, path_parts, parse_fnumber, parse_iso, exif_time, exif_caption, format_window, folder_names,
-        candidate_pairs, burst_pairs, hamming_pairs, bhattacharyya_pairs, adaptive_hsv, iou_pairs, semantic_pairs, semantic_window_pairs, orb_match, composite_edges, composite_all_edges, composite_groups,
+        candidate_pairs, burst_pairs, hamming_pairs, bhattacharyya_pairs, adaptive_hsv, iou_pairs, semantic_window_pairs, orb_match, composite_all_edges,
         burst_groups, burst_components, best_score_burst, best_score_noface, best_score_face, burst_best, group_order, portrait_order, summary_counts,
         main_faces, face_quality, eyes_closed, portrait_blend, mean_top4, exposure_score, semantic_enrich,
         feature_join, immutable_update, toggle_selection, compare_set, united_selection, exclude_in_flight, owning_group, all_but_best, best_or_first, export_plan, filing_plan, filing_report, delete_plan, prune_groups,

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from framelake import oracles, queries
+from framelake import oracles, queries, scene_queries
 from framelake.streaming.bursts import burst_sessions
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,10 +22,13 @@ def plain(v):
     return round(v, 9) + 0.0 if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+QUERIES, ORACLES = queries.QUERIES | scene_queries.QUERIES, oracles.ORACLES | scene_queries.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, db, sf_dir, name):
-    df = queries.QUERIES[name](spark, sf_dir)
-    rel = db.sql(oracles.ORACLES[name])
+    df = QUERIES[name](spark, sf_dir)
+    rel = db.sql(ORACLES[name])
     columns = sorted(df.columns)
     assert columns == sorted(rel.columns)
     got = sorted(repr([plain(x[c]) for c in columns]) for x in df.collect())
