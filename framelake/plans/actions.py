@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import base_name, dir_name
+from ..functions.scalar import base_name, dir_name, folder_name_ok
 
 
 #: A file's stem and suffix, and the stem and number of a name that looks as if it had been given one.
@@ -72,3 +72,39 @@ def delete_plan(chosen: DataFrame, photos: DataFrame, unmarked: DataFrame | None
 def pruned(members: DataFrame, processed: DataFrame) -> DataFrame:
     """Members that are left; groups without any are gone, and the rest must be ranked again."""
     return members.join(processed.select("key"), "key", "left_anti")
+
+
+def filing_outcome(wanted: DataFrame, photos: DataFrame, job: str = "job", order: str = "ord", unwritable: DataFrame | None = None, missing: DataFrame | None = None, faulty: DataFrame | None = None) -> DataFrame:
+    """(job, key, src, outcome): how each job's filing ends when its photos are taken one after the other.
+
+    `wanted` has job, key and ord; photos without a path are not taken on and have no row. A job of which any folder (`unwritable`: dir)
+    cannot be written is `refused` whole. Else sources that are gone (`missing`: path) are `missing` and the job goes on, the first that
+    fails (`faulty`: path) is `failed` and ends it, and what comes after is `not_reached`; the others are `done`. Ties in ord go by
+    key. Nothing is run in order: the least failing place of a job, an aggregate, splits it. Null jobs are one job.
+    """
+    paths = photos.where(F.col("path").isNotNull()).select("key", F.col("path").alias("src"))
+    rows = wanted.select(F.col(job).alias("job"), "key", F.col(order).alias("ord")).join(paths, "key")
+
+    def among(rows: DataFrame, other: DataFrame | None, column: str, value, name: str) -> DataFrame:
+        if other is None:
+            return rows.withColumn(name, F.lit(False))
+        return rows.withColumn("__v", value).join(other.select(F.col(column).alias("__v"), F.lit(True).alias(name)).distinct(), "__v", "left").drop("__v").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    rows = among(rows, unwritable, "dir", dir_name(F.col("src")), "closed")
+    rows = among(rows, missing, "path", F.col("src"), "gone")
+    rows = among(rows, faulty, "path", F.col("src"), "bad")
+    place = F.struct("ord", "key")
+    jobs = rows.groupBy(F.col("job").alias("__job")).agg(F.max("closed").alias("refused"), F.min(F.when(F.col("bad") & ~F.col("gone"), place)).alias("stop"))
+    met = rows.join(jobs, F.col("job").eqNullSafe(F.col("__job")))
+    after = F.coalesce(place > F.col("stop"), F.lit(False))
+    at = F.coalesce(place == F.col("stop"), F.lit(False))
+    outcome = F.when(F.col("refused"), "refused").when(after, "not_reached").when(at, "failed").when(F.col("gone"), "missing").otherwise("done")
+    return met.select("job", "key", "src", outcome.alias("outcome"))
+
+
+def accepted_folders(names: DataFrame, by: str, order: str, name: str = "name", most: int = 10) -> DataFrame:
+    """(by, folder, place): the folders that each `by` has after asking for names in the order: trimmed, valid, each once, the first `most`."""
+    trimmed = F.trim(F.col(name))
+    first = names.where(folder_name_ok(F.col(name))).groupBy(by, trimmed.alias("folder")).agg(F.min(order).alias("__first"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("__first", "folder"))
+    return first.withColumn("place", place).where(F.col("place") <= most).drop("__first")

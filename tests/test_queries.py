@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from framelake import oracles, queries, scene_queries
+from framelake import log_queries, oracles, queries, scene_queries
 from framelake.streaming.bursts import burst_sessions
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,7 +22,8 @@ def plain(v):
     return round(v, 9) + 0.0 if isinstance(v, float) else str(v)
 
 
-QUERIES, ORACLES = queries.QUERIES | scene_queries.QUERIES, oracles.ORACLES | scene_queries.ORACLES
+QUERIES = queries.QUERIES | scene_queries.QUERIES | log_queries.QUERIES
+ORACLES = oracles.ORACLES | scene_queries.ORACLES | log_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
