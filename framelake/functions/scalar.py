@@ -79,3 +79,8 @@ def folder_name_ok(name: Column) -> Column:
 
 def eye_text(both_eyes: Column, eyes_closed: Column) -> Column:
     return F.when(both_eyes, "both eyes").when(eyes_closed, "closed").otherwise("")
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, halves away from zero."""
+    return F.format_string(f"%.{digits}f", F.round(value, digits))

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import IMPORT_CAPS
-from .operators import cascade, facets, replay
+from .functions import scalar
+from .operators import cascade, entries, facets, rank, replay
+from .oracles import ISLANDS, NOFACE
 from .plans import actions
-from .queries import EV, _table, photos_of_events
+from .queries import EV, _best, _bursts, _table, photos_of_events
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +90,44 @@ def folder_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.accepted_folders(_table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", name.alias("name")), "c_nationkey", "c_custkey").withColumn("place", F.col("place").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (import_facets, import_cap_days, cascade_eyes, compare_replay, filing_outcome, folder_list)}
+def object_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as objects found on images of at most 640 pixels: boxes relative to those, and as regions of the original images."""
+    n = F.col("l_orderkey")
+    width, height = (800 + n % 3000).cast("int"), (300 + n % 2100).cast("int")
+    seen = entries.resized(width, height)
+    at = lambda c, m: (F.col(c) % m).cast("double")
+    box = [at("l_partkey", 640), at("l_suppkey", 480), F.col("l_quantity") * 13.0, F.col("l_quantity") * 7.0]
+    found = _table(spark, sf_dir, "lineitem").select(n.alias("key"), "l_linenumber", "l_partkey", "l_suppkey", seen.alias("seen"), *[b.alias(c) for b, c in zip(box, "xywh", strict=True)], width.alias("width"), height.alias("height"), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("label"))
+    unit = entries.normalised_box(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("seen.w"), F.col("seen.h"), F.col("label"))
+    region = entries.pixel_region(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("seen"), F.col("width"), F.col("height"))
+    told = found.select("key", "l_linenumber", "l_partkey", "l_suppkey", unit.alias("u"), region.alias("r"))
+    return told.select("key", "l_linenumber", "l_partkey", "l_suppkey", "u.label", *[F.round(f"u.{c}", 9).alias(c) for c in "xywh"], *[F.col(f"r.{c}").alias(f"region_{c}") for c in "xywh"])
+
+
+def selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = photos_of_events(spark, sf_dir)
+    return entries.selection_summary(_bursts(spark, sf_dir), e.where("iso > 6000").select("key"))
+
+
+def export_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best photo of each group that is left, or its first, into a folder that has some of the names already."""
+    members, best = _best(spark, sf_dir)
+    left = members.where("iso <= 6000")
+    shown = rank.best_or_first(best.withColumnRenamed("key", "best_key"), left)
+    held = spark.createDataFrame([("/out", x) for x in HELD], "dir string, name string")
+    return actions.export_plan(shown, left.select("key", "path"), "/out", held)
+
+
+#: Names that the folder of an export has already.
+HELD = ("view.jpg", "click_1.jpg", "click_3.jpg", "view_2.jpg", "other.jpg")
+
+
+def display_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return _table(spark, sf_dir, "events").select("event_id", scalar.fixed(v, 0).alias("whole"), scalar.fixed(F.sqrt(v), 1).alias("tenths"), scalar.fixed(v / 10, 3).alias("thousandths"))
+
+
+QUERIES = {f.__name__: f for f in (import_facets, import_cap_days, cascade_eyes, compare_replay, filing_outcome, folder_list, object_regions, selection_summary, export_best, display_numbers)}
 
 CAPS = ", ".join(f"({n})" for n in IMPORT_CAPS)
 ORACLES = {
@@ -123,4 +162,21 @@ ORACLES = {
     "folder_list": """WITH n AS (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'a?b' WHEN c_custkey % 11 = 0 THEN repeat('x', 31) WHEN c_custkey % 5 = 0 THEN trim(c_name) ELSE 'day ' || c_custkey % 17 END AS folder FROM customer),
         f AS (SELECT c_nationkey, folder, min(c_custkey) AS first FROM n WHERE folder <> 'a?b' AND length(folder) BETWEEN 1 AND 30 GROUP BY ALL)
         SELECT c_nationkey, folder, row_number() OVER (PARTITION BY c_nationkey ORDER BY first) AS place FROM f QUALIFY place <= 10""",
+    "object_regions": """WITH o AS (SELECT *, (800 + l_orderkey % 3000)::int AS width, (300 + l_orderkey % 2100)::int AS height, l_partkey % 640 AS x, l_suppkey % 480 AS y, l_quantity * 13 AS w, l_quantity * 7 AS h FROM lineitem),
+        s AS (SELECT *, CASE WHEN greatest(width, height) <= 640 THEN width WHEN width >= height THEN 640 ELSE round(width * 640 / height::double)::int END AS sw,
+                     CASE WHEN greatest(width, height) <= 640 THEN height WHEN height >= width THEN 640 ELSE round(height * 640 / width::double)::int END AS sh FROM o),
+        r AS (SELECT *, greatest(0, least(width - 1, round(x / sw::double * width)::int)) AS rx, greatest(0, least(height - 1, round(y / sh::double * height)::int)) AS ry FROM s)
+        SELECT l_orderkey AS key, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag <> 'A' THEN l_returnflag ELSE 'Object' END AS label, round(greatest(0.0::double, least(1.0::double, x / sw::double)), 9) AS x,
+               round(greatest(0.0::double, least(1.0::double, y / sh::double)), 9) AS y, round(greatest(0.0::double, least(1.0::double, w / sw::double)), 9) AS w, round(greatest(0.0::double, least(1.0::double, h / sh::double)), 9) AS h,
+               rx AS region_x, ry AS region_y, greatest(1, least(width - rx, round(w / sw::double * width)::int)) AS region_w, greatest(1, least(height - ry, round(h / sh::double * height)::int)) AS region_h FROM r""",
+    "selection_summary": f"WITH {ISLANDS} SELECT count(*) AS photos, count(*) FILTER (face > 0) AS with_face, count(*) FILTER (iso > 6000) AS selected, count(DISTINCT component) AS groups FROM isl",
+    "export_best": f"""WITH {NOFACE}, l AS (SELECT * FROM ran WHERE iso <= 6000),
+        k AS (SELECT component, coalesce(min(key) FILTER (rank = 1), min(key)) AS key FROM l GROUP BY component),
+        b AS (SELECT l.key, path AS src, regexp_extract(path, '[^/]*$') AS name FROM l JOIN k ON k.key = l.key),
+        h(name) AS (VALUES {", ".join(f"('{x}')" for x in HELD)}),
+        n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY key) - CASE WHEN name IN (SELECT name FROM h) THEN 0 ELSE 1 END AS nth, count(*) OVER (PARTITION BY name) AS many FROM b),
+        f AS (SELECT DISTINCT n.name, g FROM n, unnest(range(1, many + {len(HELD)} + 2)) r(g)),
+        free AS (SELECT name, g, row_number() OVER (PARTITION BY name ORDER BY g) AS nth FROM f WHERE replace(name, '.jpg', '_' || g || '.jpg') NOT IN (SELECT name FROM h UNION SELECT name FROM b))
+        SELECT key, src, '/out/' || CASE WHEN n.nth = 0 THEN n.name ELSE replace(n.name, '.jpg', '_' || g || '.jpg') END AS dst FROM n LEFT JOIN free ON free.name = n.name AND free.nth = n.nth""",
+    "display_numbers": "SELECT event_id, printf('%.0f', floor(value + 0.5)) AS whole, printf('%.1f', round(sqrt(value), 1)) AS tenths, printf('%.3f', round(value / 10, 3)) AS thousandths FROM events",
 }

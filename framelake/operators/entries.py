@@ -71,3 +71,25 @@ def united(*chosen: DataFrame, key: str = "key") -> DataFrame:
 def owning_group(keys: DataFrame, members: DataFrame, key: str = "key", group: str = "component") -> DataFrame:
     """(key, group) of the keys that a group holds; of several groups the first."""
     return keys.select(key).distinct().join(members.groupBy(key).agg(F.min(group).alias(group)), key)
+
+
+def resized(width: Column, height: Column, most: int = 640) -> Column:
+    """Width and height (a struct) of an image whose longer side is brought down to `most`; smaller images stay."""
+    longer = F.greatest(width, height)
+    side = lambda v: F.when(longer <= most, v).when(v == longer, most).otherwise(F.round(v * most / longer)).cast("int")
+    return F.struct(side(width).alias("w"), side(height).alias("h"))
+
+
+def pixel_region(x: Column, y: Column, w: Column, h: Column, seen: Column, width: Column, height: Column) -> Column:
+    """A box found on an image of the size `seen` (struct of w and h) as a region of the original: rounded, inside it, at least a pixel."""
+    held = lambda v, low, high: F.greatest(low, F.least(high, F.round(v).cast("int")))
+    rx = held(x / seen.w * width, F.lit(0), width - 1)
+    ry = held(y / seen.h * height, F.lit(0), height - 1)
+    return F.struct(rx.alias("x"), ry.alias("y"), held(w / seen.w * width, F.lit(1), width - rx).alias("w"), held(h / seen.h * height, F.lit(1), height - ry).alias("h"))
+
+
+def selection_summary(members: DataFrame, selected: DataFrame, group: str = "component", key: str = "key") -> DataFrame:
+    """One row: photos, with_face, selected (of the photos that are left) and groups."""
+    met = members.join(selected.select(key, F.lit(True).alias("__on")).distinct(), key, "left")
+    counts = met.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("face") > 0).alias("f"), F.count("__on").alias("s"))
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "photos"), ("f", "with_face"), ("s", "selected"))], F.count(F.lit(1)).alias("groups"))

@@ -46,3 +46,14 @@ def load(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Contents of chosen files: key, path, length, content."""
     files = spark.read.format("binaryFile").load(paths)
     return files.select(F.concat(F.lit("file:"), "path").alias("key"), "path", "length", "content")
+
+
+def load_selected(chosen: DataFrame, folder: str) -> DataFrame:
+    """Contents of the files under `folder` that the table `chosen` (path) names: key, path, length, content.
+
+    The listing is joined with the table, so no list of paths passes through the driver; contents of other files are not kept.
+    """
+    spark = chosen.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    wanted = files.join(chosen.select("path").distinct(), "path", "left_semi")
+    return wanted.select(F.concat(F.lit("file:"), "path").alias("key"), "path", "length", "content")

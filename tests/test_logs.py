@@ -127,3 +127,14 @@ def test_eyes_in_faces(spark):
     assert (got[2].has_face, got[2].eyes_closed, got[2].eye_sharpness, got[2].face_sharpness) == (True, False, None, None)
     assert [got[k].has_face for k in (3, 4, 6)] == [False] * 3 and not got[6].both_eyes
     assert (got[5].both_eyes, got[5].eye_sharpness, got[5].face_x) == (True, 1.0, 0.0)
+
+
+def test_selected_files_come_from_a_table(spark, tmp_path):
+    from framelake.sources import files
+
+    for i in range(5):
+        (tmp_path / f"{i}.jpg").write_bytes(bytes([i]) * (i + 1))
+    listing = files.scan(spark, str(tmp_path))
+    some = listing.where("length > 3").select("path")
+    got = files.load_selected(some.union(some), str(tmp_path)).collect()
+    assert sorted((x.key == "file:" + x.path, bytes(x.content)) for x in got) == [(True, bytes([3]) * 4), (True, bytes([4]) * 5)]
