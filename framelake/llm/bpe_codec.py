@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..lineage import cut
-from .common import quoted, slices, text_of, widened
+from .common import kept, quoted, slices, text_of, widened
 from .vocab import default_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -183,6 +183,7 @@ class Codec:
         return " ".join([names[i] for i in ids if i in names])
 
 
+@kept
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)

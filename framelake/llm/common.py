@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -61,3 +62,23 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Caches (of lru_cache) that workers keep from task to task.
+_CACHES: list = []
+
+
+def kept(cache):
+    """Marks a cache that a worker keeps; a decorator."""
+    _CACHES.append(cache)
+    return cache
+
+
+def let_go(*mine) -> None:
+    """Empties the caches that this worker has kept for other operators than the one whose tasks begin with this: the same workers
+    serve one after the other, and their memory need not hold what all of them keep."""
+    others = [c for c in _CACHES if c not in mine and c.cache_info().currsize]
+    for c in others:
+        c.cache_clear()
+    if others:
+        gc.collect()

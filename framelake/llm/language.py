@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from .common import fresh, quoted, slices, widened
+from .common import fresh, kept, let_go, quoted, slices, widened
 from .vocab import default_path, pieces
 
 MARK = "▁"
@@ -82,6 +82,7 @@ def by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
         yield from (g[k : k + most] for k in range(0, len(g), most))
 
 
+@kept
 @lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES times the pieces, eight bytes each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(vocabulary)
         tell = predictor(sent.value, path)
         for b in slices(batches, 500, 1 << 20):
             tags, marks = tell(b.column(at).to_pylist())

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..lineage import cut
-from .common import quoted, slices, text_of, widened
+from .common import kept, let_go, quoted, slices, text_of, widened
 from .vocab import default_path, pieces
 
 MARK = "▁"
@@ -267,6 +267,7 @@ def compose(a: list[Entry], b: list[Entry]) -> list[Entry]:
     return sorted({(*x[:2], *leave) for x in a for leave in by_entry.get(x[2:], ())})
 
 
+@kept
 @lru_cache(maxsize=1)
 def lattice(path: str) -> Lattice:
     return Lattice(path)
@@ -382,6 +383,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         return pa.RecordBatch.from_arrays([b.column("doc_id"), n_chunks, ids, pa.array(same, pa.bool_())], names=["doc_id", "n_chunks", "ids", "round_trip"])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(lattice)
         codec = lattice(path)
         for b in slices(batches, 256, 1 << 20):
             lists = [codec.encode(escaped(t)) for t in b.column("text").to_pylist()]

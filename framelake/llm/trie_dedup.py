@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, quoted, saved, slices, text_of
+from .common import SPACE, fresh, let_go, quoted, saved, slices, text_of
 
 #: Bytes of keys that a task's trie holds before it spills its heaviest subtree.
 TRIE_BYTES = 16 << 20
+#: Owners of several rows up to which their ids and digests are sent to all tasks; beyond it they are joined by a shuffle.
+SENT = 1 << 18
 OWNERS = "content_hash long, n_bytes int, text binary, keep_id {id}, n long"
 
 
@@ -123,6 +125,7 @@ def _owners(sorted_by_hash: bool, budget: int):
             yield from trie.take(top)
 
     def run(source):
+        let_go()
         first = next(source, None)
         if first is not None:  # the ids' type is the column's
             schema = pa.schema([*fields[:3], ("keep_id", first.schema.field("keep_id").type), fields[3]])
@@ -181,6 +184,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     owned = owners(docs, id_col, text_col).where("group_size > 1").select("keep_id", F.unhex("text_sha256").alias("sha"))
     keep, sha = fresh(docs, "keep", "sha")
     several = saved(owned.select(F.col("keep_id").alias(keep), F.col("sha").alias(sha)))
+    if several.count() <= SENT:
+        several = F.broadcast(several)
     digest = F.unhex(F.sha2(F.encode(normalised(text_col), "UTF-8"), 256))
     same_text, same_id = digest == F.col(sha), quoted(id_col).eqNullSafe(F.col(keep))
     # Rows that go: their text has an owner of another id.

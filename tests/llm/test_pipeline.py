@@ -65,7 +65,7 @@ def test_stages_on_an_empty_table(spark, make):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_registry_matches_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df, rel = registry.QUERIES[name](spark, sf_dir), db.sql(registry.ORACLES[name])
     columns = sorted(df.columns)
