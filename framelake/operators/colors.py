@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import GroupingConfig
 from ..functions.similarity import HSV_SIZES, hsv_weights, mean_bin
+from ..lineage import cut
 
 #: Merged bins of hue, saturation and value; of other histograms as many as these together.
 MERGED = (6, 5, 5)
@@ -86,6 +87,6 @@ def with_veto(pairs: DataFrame, photos: DataFrame, config: GroupingConfig = Grou
     Only the keys of the pairs and few bins of each photo are moved for all of them; whole histograms follow, by key, for the
     pairs that few bins leave open. Photos without a histogram veto nothing.
     """
-    told = bounded(pairs, color_features(photos, key, hist), config, key)
+    told = cut(bounded(pairs, color_features(photos, key, hist), config, key))  # narrow, and read twice
     sure = told.where("state IS NOT NULL").withColumn("veto", F.col("state") == 1)
     return sure.unionByName(settled(told.where("state IS NULL"), photos, config, key, hist)).drop("state", "saturation")

@@ -92,7 +92,7 @@ def photo_links(photos: DataFrame, config: GroupingConfig = GroupingConfig(), ke
     columns = set(photos.columns)
     narrow = _narrow(photos, key)
     vetoed = lambda pairs: colors.with_veto(pairs, photos, config, key).where("NOT veto").drop("veto") if "hist" in columns else pairs
-    near = _timed(narrow, config, crowded)
+    near = cut(_timed(narrow, config, crowded))  # narrow, and read twice
     links = vetoed(near.where("cheap").select("a", "b").union(_untimed(narrow, config)))
     labels = None
     if linking:
@@ -107,7 +107,7 @@ def photo_links(photos: DataFrame, config: GroupingConfig = GroupingConfig(), ke
         if "hist" in columns:
             still = colors.bounded(still, colors.color_features(photos, key), config, key).where("state IS NULL OR state = 0").select("a", "b")
         found = _by_descriptors(still, photos, config, key).union(_unlinked(_untimed_by_descriptors(photos, config, key), labels))
-        links = links.union(vetoed(found))
+        links = links.union(vetoed(cut(found)))
     return links if linking else links.distinct()
 
 
