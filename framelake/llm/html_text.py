@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import quoted, slices, text_of
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)|(?P<text>[^<]+|<)""",
@@ -297,10 +297,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
-                texts = pa.array([main_text(x) for x in b.column(2).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["page_id", "url", "text"])
+        for b in slices(batches, 200):
+            texts = pa.array([main_text(x) for x in b.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["page_id", "url", "text"])
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"))
+    rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), text_of(html_col).alias("html"))
     return rows.mapInArrow(run, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string")

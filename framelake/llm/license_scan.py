@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import quoted, text_of
 
 #: Words of a shingle, shingles of a window (so neighbouring windows share four words), bands of one minimum each.
 #: A window of six words with one of its two shingles from a template misses it with probability 2 ** -10; a notice
@@ -101,7 +101,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_containme
     reach = table.agg(F.max("t_size")).first()[0] or 0
 
     words, hashes = shingles(text_of(text_col))
-    hashed = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).select("doc_id", hashes.alias("h"))
+    hashed = docs.select(quoted(id_col).alias("doc_id"), words.alias("words")).select("doc_id", hashes.alias("h"))
     among = lambda s, numbers: s.isin(numbers) if numbers else F.lit(False)
     may_hit = lambda i: _any([among(s, any_of) & (among(s, alone) | gives_minimum(s, i)) for s in window(i)])
     grid = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(WINDOW))).otherwise(F.array().cast("array<int>"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, quoted, text_of
 
 #: Frequent function words of the corpus languages (fixed values).
 STOP_WORDS = (
@@ -47,9 +47,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Only `id_col` and `text_col` are read, so other columns cannot clash. A word is a run without ASCII white
     space. n_repeat_words counts the words that lie in a three-word window which occurs at least twice in the
-    text, found by sorting the windows inside the row: no shuffle, n log n in the length of the text.
+    text, found by sorting 64-bit hashes of the windows inside the row: no shuffle, n log n in the length of the text.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t")).withColumn("w", F.regexp_extract_all("t", F.lit(WORD), 0))
+    words = docs.select(quoted(id_col).alias("doc_id"), text_of(text_col).alias("t")).withColumn("w", F.regexp_extract_all("t", F.lit(WORD), 0))
     window = lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i"))
     grams = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), window)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))

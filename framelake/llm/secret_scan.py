@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import quoted, slices, text_of
 from .vocab import default_path, rank_encoding
 
 KINDS = ("assign", "access", "hex", "random")
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = rank_encoding(path)
-        for b in batches:
+        for b in slices(batches):
             counts, digests, spans = [[] for _ in KINDS], [], []
             for text in b.column(1):
                 t = text.as_py()
@@ -136,4 +136,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             arrays = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("t")).mapInArrow(run, SCHEMA.format(id=id_type))
+    return docs.select(quoted(id_col).alias("doc_id"), text_of(text_col).alias("t")).mapInArrow(run, SCHEMA.format(id=id_type))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, text_of
+
 #: Rules are broadcast; more bytes than this are refused (a larger list belongs in a join on host suffixes).
 MAX_RULE_BYTES = 64 << 20
 
@@ -76,11 +78,11 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, default: str = "
     size bounded by MAX_RULE_BYTES; pages are not shuffled.
     """
     sent = pages.sparkSession.sparkContext.broadcast(build(rules))
-    url = F.coalesce(F.col(url_col), F.lit(""))
+    url = text_of(url_col)
     authority = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     path = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    rows = pages.select(F.col(id_col).alias("page_id"), F.translate(authority, upper, lower).alias("host"), path.alias("path"))
+    rows = pages.select(quoted(id_col).alias("page_id"), F.translate(authority, upper, lower).alias("host"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = sent.value
