@@ -24,7 +24,7 @@ LETTERS = r"\p{L}{1,32}"
 FACTOR, LEAST = float(1 << 25), 1e-300
 #: Bounds of the fit: documents of each language (chosen by a hash of their id), languages, and rounds.
 TRAIN_DOCS, MAX_LANGUAGES, ROUNDS, PSEUDO = 1500, 200, 4, 0.05
-WORD_CACHE = 100_000
+WORD_CACHE = 250_000
 UNKNOWN = "und"
 
 
