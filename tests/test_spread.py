@@ -81,5 +81,5 @@ def test_hubs_give_the_same_components(spark):
 def test_stars_end_without_another_round(spark):
     """Edges that are stars already are told as such, and nothing else is."""
     state = lambda edges: cluster._state(spark.createDataFrame(edges, "a long, b long"))
-    assert state([(5, 1), (4, 1), (9, 7)]) == (3, 0)
+    assert state([(5, 1), (4, 1), (9, 7)]) == (3, 0, 2)
     assert state([(5, 1), (5, 2)])[1] and state([(5, 3), (3, 1)])[1]
