@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .config import PHOTO_SUFFIXES, GroupingConfig
 from .functions import scalar, similarity
-from .operators import candidates, cluster, entries, numbering, portrait, rank
+from .operators import candidates, cluster, entries, numbering, objects, portrait, rank
+from .operators.time_cells import near_pairs
 from .plans import actions
 from .sources import files
 
@@ -174,7 +175,7 @@ def folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.band_join(photos_of_events(spark, sf_dir).select("key", "t"), CONFIG.horizon_s).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    return near_pairs(photos_of_events(spark, sf_dir).select("key", "t"), CONFIG.horizon_s).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).withColumnsRenamed({"ka": "a", "kb": "b"})
 
 
 def burst_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +215,15 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_of(photos: DataFrame) -> DataFrame:
-    """All pairs of photos within the horizon, whatever their camera: matching objects, and whether they make them similar."""
-    matches = similarity.object_matches(F.col("a.objects"), F.col("b.objects"), CONFIG.semantic_min_iou).cast("long")
-    pairs = candidates.band_join(photos.select("key", "t", "objects"), CONFIG.horizon_s).select("a", "b", matches.alias("matches"))
-    near = similarity.seconds_close(F.col("a.t"), F.col("b.t"), CONFIG.semantic_window_min * 60)
-    return pairs.select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb"), "matches", (near & (F.col("matches") >= CONFIG.semantic_min_matches)).alias("similar")).withColumnsRenamed({"ka": "a", "kb": "b"})
+    """All pairs of photos within the horizon, whatever their camera: matching objects, and whether they make them similar. Pairs are
+    of keys and times alone; objects meet each other by time, label and place, and are counted by pair."""
+    seen = photos.select("key", F.explode("objects").alias("o")).select("key", "o.ord", "o.label", "o.x", "o.y", "o.w", "o.h")
+    narrow = photos.select("key", "t")
+    links = objects.object_links(narrow, seen, CONFIG.horizon_s, CONFIG.semantic_min_iou).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = near_pairs(narrow, CONFIG.horizon_s).select(F.col("a.key").alias("ka"), F.col("b.key").alias("kb"), (F.col("b.t") - F.col("a.t")).alias("gap")).withColumnsRenamed({"ka": "a", "kb": "b"})
+    matches = F.coalesce("n", F.lit(0))
+    similar = (F.col("gap") <= CONFIG.semantic_window_min * 60) & (matches >= CONFIG.semantic_min_matches)
+    return pairs.join(links, ["a", "b"], "left").select("a", "b", matches.cast("long").alias("matches"), similar.alias("similar"))
 
 
 def semantic_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
