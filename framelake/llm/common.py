@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -75,10 +76,13 @@ def kept(cache):
 
 
 def let_go(*mine) -> None:
-    """Empties the caches that this worker has kept for other operators than the one whose tasks begin with this: the same workers
-    serve one after the other, and their memory need not hold what all of them keep."""
-    others = [c for c in _CACHES if c not in mine and c.cache_info().currsize]
-    for c in others:
-        c.cache_clear()
-    if others:
-        gc.collect()
+    """Empties the caches that this worker has kept for other operators than the one whose tasks begin with this, and gives back what
+    earlier tasks have freed: the same workers serve one after the other, and their memory need not hold what all of them kept."""
+    for c in _CACHES:
+        if c not in mine and c.cache_info().currsize:
+            c.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
