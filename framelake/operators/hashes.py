@@ -39,7 +39,8 @@ def hash_links(asked: DataFrame, photos: DataFrame, most: int, key: str = "key",
     stand = hashes(photos).select("high", "low", numbered())
     masks = F.array(*[F.lit(m).cast("long") for m in _masks(bits, radius)])
     look = hashes(asked).select(F.col("high").alias("h"), F.col("low").alias("l"), numbered()).select("h", "l", "part", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-    pairs = look.join(stand, ["part", "value"])
+    # Many keys come of few hashes, which a planner cannot see: neither side is to be broadcast.
+    pairs = look.join(stand.hint("merge"), ["part", "value"])
     apart = [F.col("h").bitwiseXOR(F.col("high")), F.col("l").bitwiseXOR(F.col("low"))]
     of_part = pairs.select("h", "l", "part", F.col("high").alias("h2"), F.col("low").alias("l2"), apart[0].alias("high"), apart[1].alias("low"))
     near = F.array(*[F.bit_count(p) <= radius for p in _parts(parts)])
