@@ -82,6 +82,7 @@ def test_halves_round_as_in_spark(spark):
 
 
 SETTLED_WHERE_THEY_MEET = [
+    "semantic_pairs",
     "veto_692",
     "object_links",
     "composite_edges",
