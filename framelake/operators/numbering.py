@@ -19,6 +19,8 @@ from ..lineage import cut
 
 #: Bits of monotonically_increasing_id that number the rows of a part.
 WITHIN = 33
+#: Tasks that the rows of one group go to when they are joined with what is known of the group.
+SALTS = 256
 
 
 def _sorted(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -50,6 +52,14 @@ def rank_in_group(rows: DataFrame, group: str, order: list[Column], name: str) -
     return placed.join(starts, F.col(group).eqNullSafe(F.col("__group"))).withColumn(name, F.col("__number") - F.col("__start") + 1).drop("__number", "__group", "__start")
 
 
+def spread_join(rows: DataFrame, values: DataFrame, on: str, key: str = "key") -> DataFrame:
+    """`rows` with the columns of `values`, which has one row for each value of `on`. Rows are dealt out by `on` and a salt of their key, so one value
+    with all the rows goes to `SALTS` tasks; only the values are copied, to the salts that rows have."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    few = salted.select(on, "__salt").distinct().join(values, on)
+    return salted.join(few, [on, "__salt"]).drop("__salt")
+
+
 def islands(rows: DataFrame, gap_s: int, t: str = "t", key: str = "key", name: str = "island") -> DataFrame:
     """Timed rows with the number of their island: rows at most `gap_s` from the one before are in its island."""
     timed = _sorted(rows.where(F.col(t).isNotNull()), [F.col(t), F.col(key)])
