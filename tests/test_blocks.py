@@ -82,6 +82,8 @@ def test_halves_round_as_in_spark(spark):
 
 
 SETTLED_WHERE_THEY_MEET = [
+    "burst_pairs",
+    "candidate_pairs",
     "semantic_pairs",
     "veto_692",
     "object_links",
