@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RankConfig
-from .numbering import ordinal
+from .numbering import ordinal, spread_join
 
 
 def iso_adjusted(sharpness: Column, iso: Column, config: RankConfig = RankConfig()) -> Column:
@@ -40,7 +40,7 @@ def with_group_scores(members: DataFrame, groups: DataFrame, config: RankConfig
     joined, so no group's members need to meet."""
     adjusted = members.withColumn("adjusted", iso_adjusted(F.col("sharpness"), F.col("iso"), config))
     top = adjusted.groupBy("component").agg(F.greatest(F.lit(config.min_group_max), F.max("adjusted")).alias("__top")).join(groups.select("component", "is_burst"), "component")
-    met = adjusted.join(top, "component")
+    met = spread_join(adjusted, top, "component")
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("adjusted") / F.col("__top")))
     return met.withColumn("s_norm", unit).withColumn("score", best_score(F.col("is_burst"), F.col("s_norm"), F.col("exposure"), F.col("face"))).drop("__top")
 
@@ -50,6 +50,12 @@ def ranked(scored: DataFrame, group: str = "component", order: str = "input_ord"
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), F.col(order))))
 
 
+def best_of(scored: DataFrame, group: str = "component", order: str = "input_ord", key: str = "key") -> DataFrame:
+    """(group, best_key, best_score) of what `ranked` puts first, as an aggregate: no group is put in order."""
+    first = F.max(F.struct(F.col("score"), (-F.col(order)).alias("o"), F.col(key).alias("k"))).alias("b")
+    return scored.groupBy(group).agg(first).select(group, F.col("b.k").alias("best_key"), F.col("b.score").alias("best_score"))
+
+
 def groups_of(members: DataFrame, window_s: int, group: str = "component", t: str = "t", order: str = "input_ord") -> DataFrame:
     """One row per group: size, number with a time, earliest and latest time, first place in the input, is_burst."""
     found = members.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.count(t).alias("n_timed"), F.min(t).alias("earliest"), F.max(t).alias("latest"), F.min(order).alias("first_ord"))
