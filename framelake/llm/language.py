@@ -39,12 +39,36 @@ class Vocabulary:
         self.other, self.none = len(kept), len(kept) + 1
         self.longest = max(map(len, kept))
         self.factor = FACTOR ** np.array([*map(len, kept), 1, 0], float)
+        # Edges of the tree of all pieces, in order: (node, character) as one number, the child, and the piece that ends there (or none).
+        nodes, edges = {"": 0}, {}
+        for piece in kept:
+            for k in range(1, len(piece) + 1):
+                edges.setdefault(nodes[piece[: k - 1]] << 21 | ord(piece[k - 1]), nodes.setdefault(piece[:k], len(nodes)))
+        names = list(nodes)
+        self.edges = np.array(sorted(edges), np.int64)
+        self.child = np.array([edges[e] for e in self.edges.tolist()], np.int64)
+        self.piece = np.array([self.ids.get(names[c], self.none) for c in self.child.tolist()], np.int32)
 
     def lattice(self, words: list[str]) -> np.ndarray:
-        """Ids of words of one length n, as [word, end, size]: the piece of that size that ends there."""
-        n, top, get, none, other = len(words[0]), self.longest, self.ids.get, self.none, self.other
-        flat = [get(w[end - k : end], other if k == 1 else none) if k <= end else none for w in words for end in range(1, n + 1) for k in range(1, min(n, top) + 1)]
-        return np.array(flat, np.int32).reshape(len(words), n, min(n, top))
+        """Ids of words of one length n, as [word, end, size]: the piece of that size that ends there. The words go down the tree of pieces
+        together, from each place in them, as far as pieces begin so."""
+        n = len(words[0])
+        codes = np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.int64)
+        out = np.full((len(words), n, min(n, self.longest)), self.none, np.int32)
+        out[:, :, 0] = self.other
+        for start in range(n):
+            on, node = np.arange(len(words)), np.zeros(len(words), np.int64)
+            for k in range(min(n - start, self.longest)):
+                edge = node << 21 | codes[on, start + k]
+                at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                there = np.flatnonzero(self.edges[at] == edge)
+                if not len(there):
+                    break
+                on, at = on[there], at[there]
+                ends = np.flatnonzero(self.piece[at] != self.none)
+                out[on[ends], start + k, k] = self.piece[at[ends]]
+                node = self.child[at]
+        return out
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
