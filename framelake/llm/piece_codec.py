@@ -26,8 +26,8 @@ from .vocab import default_path, pieces
 MARK = "▁"
 #: Characters of a chunk; longer texts are encoded by chunks that any executor may take.
 CHUNK = 32_768
-#: Strings whose ids a worker keeps (with twice as many steps and a quarter as many prefixes), and the length of those.
-CACHE, PREFIX = 120_000, 6
+#: Strings whose ids a worker keeps; twice as many steps as CACHE and a quarter as many prefixes, and the length of those.
+WORDS, CACHE, PREFIX = 300_000, 120_000, 6
 #: Matrices that one task combines.
 FAN = 64
 START = (0, 0)  # the state before a text; a state is (characters before the boundary, after it) of a piece
@@ -45,6 +45,24 @@ class Follow(dict):
         return self.lattice.step(self, right)
 
 
+class Words(dict):
+    """Ids (as bytes) of recent strings; those of the last generation come back, others are told anew."""
+
+    __slots__ = ("lattice", "older")
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.lattice, self.older = lattice, {}
+
+    def __missing__(self, u: str) -> bytes:
+        got = self.older.get(u) or self.lattice.unit(u).tobytes()
+        if len(u) < 64:
+            if len(self) > WORDS // 2:
+                self.older = dict(self)
+                self.clear()
+            self[u] = got
+        return got
+
+
 class Lattice:
     """Pieces of one model file, the steps between them, and the best paths of strings."""
 
@@ -55,11 +73,12 @@ class Lattice:
         self.score = {p: scores[i] for p, i in self.ids.items()}
         self.bytes = [next(i for i, p in enumerate(names) if is_byte[i] and p == f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
+        #: Ends of pieces, without the whole ones: what may become a piece by characters in front.
+        self.endings = frozenset(p[k:] for p in self.ids for k in range(1, len(p)))
         self.steps: dict[str, Follow] = {}
         self.opening = Follow(self, "")
         self.n_steps = 0
-        self.words: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.words = Words(self)
         self.prefixes: dict[str, tuple[list[Follow], list[int], list[int]]] = {}
         # No piece holds a mark after another character, a character without a piece, or a letter beside one of the
         # signs that no piece joins to letters: texts fall apart there.
@@ -150,19 +169,25 @@ class Lattice:
         n = len(text)
         if n == 1:
             return array("i", self.codes(text))
-        ids, steps, longest = self.ids, self.steps, self.longest
+        ids, steps, endings = self.ids, self.steps, self.endings
         # Paths of a prefix do not depend on what follows, so words share those of their first characters.
         first = text[:PREFIX]
         known = self.prefixes.get(first) if n > PREFIX else None
         rows, size, code = known or ([self.opening], [0], [0])
         begin, rows, size, code = len(rows), rows + [None] * (n + 1 - len(rows)), size + [0] * (n + 1 - len(size)), code + [0] * (n + 1 - len(code))
         for end in range(begin, n + 1):
-            for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):
-                piece = text[start:end]
+            # From the shortest piece that ends here on, as far as longer ones do.
+            start = end - 1
+            piece = text[start]
+            while True:
                 if piece in ids and rows[start][piece]:
                     size[end], code[end] = end - start, ids[piece]
                     rows[end] = steps.get(piece) or self.follow(piece)
                     break
+                if not start or piece not in endings:
+                    break
+                start -= 1
+                piece = text[start:end]
         if known is None and n > PREFIX:
             if len(self.prefixes) > CACHE // 4:
                 self.prefixes.clear()
@@ -176,19 +201,7 @@ class Lattice:
 
     def encode(self, escaped: str) -> array:
         """Ids of a string that starts and ends where texts fall apart."""
-        out = array("i")
-        for u in self.units.findall(escaped):
-            out.extend(self.words.get(u) or self.remembered(u))
-        return out
-
-    def remembered(self, u: str) -> array:
-        """Ids of a string that is not among the recent ones; those of the last generation come back, others are told anew."""
-        got = self.older.get(u) or self.unit(u)
-        if len(u) < 64:
-            if len(self.words) > CACHE // 2:
-                self.words, self.older = {}, self.words
-            self.words[u] = got
-        return got
+        return array("i", b"".join(map(self.words.__getitem__, self.units.findall(escaped))))
 
     # Chunks of giant documents. `left` and `right` are the neighbouring characters, up to the longest piece.
 
